@@ -65,11 +65,11 @@ def golden(k: int) -> np.uint64:
     return np.uint64(k * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)
 
 
-def text_slices(column, max_bytes: int = 1 << 20):
+def text_slices(column, max_bytes: int = 1 << 20, max_rows: int = 1 << 20):
     """Cut an Arrow string column into runs of whole texts of about max_bytes.
 
     Yields (first row, last row + 1, bytes of these rows as uint8, offsets from 0). Null texts are empty. A
-    text longer than max_bytes is a run of its own.
+    text longer than max_bytes is a run of its own; a run has at most max_rows rows.
     """
     import pyarrow as pa
 
@@ -86,7 +86,7 @@ def text_slices(column, max_bytes: int = 1 << 20):
         a = 0
         while a < n:
             b = int(np.searchsorted(offsets, offsets[a] + max_bytes, side="right")) - 1
-            b = min(n, max(a + 1, b))
+            b = min(n, a + max_rows, max(a + 1, b))
             yield chunk_start + a, chunk_start + b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             a = b
 
@@ -105,6 +105,8 @@ def _chunks(column):
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: ASCII bytes that are no letter; bytes of other characters count as letters.
+NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_KEYS = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
@@ -123,8 +125,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes outside 0x20 and 0x09-0x0D) of texts laid end to end.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes outside those marked in apart: 0x20 and 0x09-0x0D) of texts laid end to end.
 
     Returns their 64-bit hashes, their text's number, and their first and past-the-end byte positions. Words
     never cross texts.
@@ -133,7 +135,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.zeros(n + 1, bool)
@@ -176,3 +178,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+LOWER = _LOWER
+
+
+def collapsed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts laid end to end, ASCII lower-cased, each run of bytes that are neither letters nor digits as one space.
+
+    Returns the bytes, the new offsets, and each byte's position in data. Runs never cross texts.
+    """
+    gap = _GAP[data]
+    follows = np.zeros(len(data), bool)
+    follows[1:] = gap[:-1]
+    follows[offsets[:-1][offsets[:-1] < len(data)]] = False
+    keep = ~(gap & follows)
+    at = np.flatnonzero(keep)
+    out = np.where(gap, np.uint8(32), LOWER[data])[at]
+    counts = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=counts[1:])
+    return out, counts[offsets], at
+
+
+_GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
