@@ -1,7 +1,7 @@
 """Queries of the corpus operators, one module each, and their SQL where SQL can express them."""
 
-from . import op2, op8, op9, op10
+from . import op1, op2, op5, op8, op9, op10
 
-_MODULES = (op2, op8, op9, op10)
+_MODULES = (op1, op2, op5, op8, op9, op10)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
