@@ -56,8 +56,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: flo
     return ranked.select("source", "source_size", "source_no", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, cap: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, keep_text: bool = True) -> DataFrame:
-    """Columns of docs (the text too, if keep_text) with size, source_size, target and taken (words of this row that the mix takes).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, cap: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, with_text: bool = True) -> DataFrame:
+    """docs with size, source_size, target and taken (words of this row that the mix takes).
 
     The words of each source, its rows in a hashed order, lie end to end in blocks of ``block`` words, the last
     one shorter. All slots of the mix draw without replacement from an urn that holds each source as often as
@@ -70,13 +70,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A null or empty text has no words and is taken 0 times; a null source is a source; equal rows each hold
     their own words; an empty table gives no rows. Columns that bear one of the new names are replaced. The
-    same rows and seed give the same result.
+    same rows and seed give the same result. Without with_text, docs of id, text and source come back as id and
+    source alone, and no text is shuffled.
     """
     added = ("size", "source_size", "target", "taken")
-    kept = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]
+    kept = [c for c in docs.columns if c not in added]
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(*kept, words.alias("size"), F.col(source_col).alias("_src"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_key"))
-    rows = materialize(rows, "sized")
+    text_key = F.xxhash64(text_col, F.lit(7))
+    row_key = F.xxhash64(id_col, F.isnull(id_col), source_col, F.isnull(source_col), text_key)
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), words.alias("size"), F.xxhash64(id_col, F.lit(seed)).alias("_key"), row_key.alias("_row"))
+    rows = materialize(narrow, "sized")
     sources = rows.groupBy(F.col("_src").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     sources = materialize(sources, "sources")
     n_rows = sources.agg(F.sum("n_rows")).first()[0] or 0
@@ -92,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     buckets = max(64, int(n_rows**0.5))
     names = sized(wanted.select(F.col("source").alias("_name"), "source_no"), n_sources)
     rows = rows.join(names, F.col("_src").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int"))
-    inside = Window.partitionBy("source_no", "_bucket").orderBy("_key", id_col, "size")
+    inside = Window.partitionBy("source_no", "_bucket").orderBy("_key", "_row")
     rows = rows.withColumns({"_rn": F.row_number().over(inside), "_at": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     rows = materialize(rows, "packed")
     ahead = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,8 +112,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     end = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block)
     partial = F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.col("part")) - begin)
     per_row = used.groupBy("source_no", "_bucket", "_rn").agg(F.sum(F.col("times") * (end - begin) + partial).alias("taken"))
-    out = rows.join(per_row, ["source_no", "_bucket", "_rn"], "left").join(sized(wanted.select("source_no", "source_size", "target"), n_sources), "source_no")
-    return out.select(*kept, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = rows.select("source_no", "_bucket", "_rn", "_id", "_src", "_row", "size").join(per_row, ["source_no", "_bucket", "_rn"], "left")
+    out = out.join(sized(wanted.select("source_no", "source_size", "target"), n_sources), "source_no")
+    out = out.select("_id", "_src", "_row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    if set(kept) <= {id_col, text_col, source_col} and not with_text:
+        return out.select(F.col("_id").alias(id_col), F.col("_src").alias(source_col), *added)
+    # the other columns come back by a hash of the row; equal rows are told apart by number
+    same = Window.partitionBy("_row").orderBy("_row")
+    out = materialize(out.select("_row", *added), "mixed").withColumn("_n", F.row_number().over(same))
+    return docs.select(*kept, row_key.alias("_row")).withColumn("_n", F.row_number().over(same)).join(out, ["_row", "_n"]).select(*kept, *added)
 
 
 def slots(wanted: DataFrame, block: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
@@ -135,3 +145,12 @@ def block_use(wanted: DataFrame, block: int = BLOCK_WORDS, seed: int = 0) -> Dat
     """(source_no, block, times, part): how often the mix takes the whole block, and the words of a partial take."""
     drawn = slots(wanted, block, seed)
     return drawn.groupBy("source_no", "block").agg(F.sum(F.when(F.col("words").isNull(), 1).otherwise(0)).alias("times"), F.coalesce(F.max("words"), F.lit(0)).alias("part"))
+
+
+def repeated(mixed: DataFrame, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
+    """Rows of a mix as often as it takes them: once for each whole taking, and once more with a chance of the
+    remaining share of their words, by a hash of the id. Rows of no words are not in a mix."""
+    share = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
+    chance = F.pmod(F.xxhash64(id_col, F.lit(seed + 11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    copies = F.floor(share) + (chance < share - F.floor(share)).cast("long")
+    return mixed.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)))).drop("_copy")
