@@ -15,6 +15,7 @@ from larkspool.llm.decontaminate import leaks
 from larkspool.llm.mixing import mix, repeated
 from larkspool.llm.neardup import near_duplicates
 from larkspool.llm.reshard import reshard
+from larkspool.shipping import ship
 
 OLD_SHARDS, NEW_SHARDS = 16, 24
 
@@ -78,6 +79,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written in the shared folder and read again."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -155,10 +155,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     labelled = materialize(_labelled(members.select("band", "key", "rep", "n"), group), "labelled")
     spread = labelled.groupBy("band", "key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("band", "key")
     mixed = materialize(labelled.join(materialize(spread, "spread"), ["band", "key"]), "mixed")
-    left = mixed.select("band", "key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("g").alias("ag"))
-    right = mixed.select("band", "key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("g").alias("bg"))
-    across = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & close("an", "bn")).select("a", "b").distinct()
-    across = materialize(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+    open_rows = mixed.groupBy(F.col("rep").alias("id"), "g").agg(F.count("*").alias("n_buckets")).drop("n_buckets")
+    across = materialize(_prefix_pairs(rows, open_rows, shingle, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_confirm(rows, across, shingle, percent))
     group = components(links)
 
@@ -186,3 +184,39 @@ def _confirm(rows: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> D
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
     return materialize(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
+
+
+def _prefix_pairs(rows: DataFrame, open_rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of open_rows (id, g) of different g that may meet the threshold; none that does is missing.
+
+    Each set is put in order of how few of the sets hold a member. Two sets that share enough have a common
+    member among their first n - percent / 100 * n + 1, and where that member stands bounds what they can share
+    behind it (prefix and position filters of exact set joins). Members of one set alone only take up places.
+    """
+    open_rows = materialize(open_rows, "open")
+    sets = rows.join(open_rows, "id").select("id", "text", "g").mapInArrow(_open_sets(shingle), "id long, g long, members array<long>")
+    sets = materialize(sets, "open_sets")
+    each = sets.select("id", "g", F.size("members").alias("n"), F.explode("members").alias("member"))
+    often = materialize(each.groupBy("member").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    ranked = each.join(often, "member").groupBy("id", "g", "n").agg(F.sort_array(F.collect_list(F.struct("often", "member"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    prefix = ranked.where(length > 0).select("id", "g", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), length.cast("int"))).alias("p", "s"))
+    prefix = materialize(prefix.select("id", "g", "n", (F.col("p") + F.col("alone")).alias("at"), F.col("s.member").alias("member")), "prefix")
+    left = prefix.select("member", F.col("id").alias("a"), F.col("g").alias("ag"), F.col("n").alias("an"), F.col("at").alias("aa"))
+    right = prefix.select("member", F.col("id").alias("b"), F.col("g").alias("bg"), F.col("n").alias("bn"), F.col("at").alias("ba"))
+    reach = F.least(F.col("an") - F.col("aa"), F.col("bn") - F.col("ba"))
+    fits = (F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & (reach * (100 + percent) >= percent * (F.col("an") + F.col("bn")))
+    return left.join(right, "member").where(fits).groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b")
+
+
+def _open_sets(k: int):
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                sets = shingle_sets(data, offsets, k)
+                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, _signed(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), batch.column(2).slice(a, b - a), lists], names=["id", "g", "members"])
+
+    return run
