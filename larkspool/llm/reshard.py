@@ -109,7 +109,8 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 24, id_
     spark = docs.sparkSession
     text_key = F.xxhash64(F.col(text_col), F.lit(1))
     id_key = F.xxhash64(F.col(id_col), F.lit(2))
-    rows = docs.withColumns({size: utf8_bytes(F.col(text_col)) + 8, old: old_shard.cast("int"), "_text_key": text_key, "_id_key": id_key})
+    kept = [c for c in docs.columns if c not in names]
+    rows = docs.select(*kept, (utf8_bytes(F.col(text_col)) + 8).alias(size), old_shard.cast("int").alias(old), text_key.alias("_text_key"), id_key.alias("_id_key"))
     narrow = rows.select(old, "_text_key", "_id_key", F.col(size).alias("bytes"))
 
     def blocks(heavy: list[int]) -> Column:
@@ -141,7 +142,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int = 24, id_
     moved = moved.join(sized(starts, n_new * salts), [shard, "_salt"])
     place = Window.partitionBy(shard, "_salt").orderBy("_id_key", id_col, "_text_key")
     moved = moved.withColumn(slot, F.col("_start") + F.row_number().over(place) - 1)
-    return moved.select(*[c for c in docs.columns if c not in names], size, shard, slot, old)
+    return moved.select(*kept, size, shard, slot, old)
 
 
 def write_shards(placed: DataFrame, path: str, names: tuple[str, str, str, str] = ("size", "shard", "slot", "old_shard")) -> None:

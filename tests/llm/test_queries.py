@@ -1,0 +1,56 @@
+"""The registered corpus queries and the pipeline over the small tables."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from larkspool.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, duck, small, name):
+    got = queries.QUERIES[name](spark, small).toPandas()
+    want = duck.sql(queries.ORACLES[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(got[cols].values.tolist()) == sorted(want[cols].values.tolist())
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_language_accuracy(spark, small):
+    got = queries.QUERIES["op1_centroid_langid"](spark, small).join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = got.where("held_out").toPandas()
+    assert (held.lang == held.lang_pred).mean() > 0.95 and held["score"].between(0, 1).all()
+
+
+def test_toxicity_is_a_score(spark, small):
+    got = queries.QUERIES["op5_segment_toxicity"](spark, small).toPandas()
+    assert len(got) == 200 and got["score"].between(0, 1).all() and ((got["score"] >= 0.5) == (got.predicted == 1)).all()
+
+
+def test_pipeline(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        from larkspool.llm.common import materialize
+
+        docs = materialize(stage(spark, docs, small), name)
+        seen.append((name, docs.count()))
+        if name != "shard":
+            assert docs.columns == columns
+    counts = dict(seen)
+    assert counts["language_id"] >= counts["near_dedup"] >= counts["decontaminate"] > 0
+    assert counts["mix"] == counts["shard"]
+    load = docs.groupBy("shard").agg(F.sum("size")).toPandas()
+    assert len(load) == 24 and np.ptp(load.iloc[:, 1]) <= docs.agg(F.max("size")).first()[0]
+
+
+def test_empty_pipeline(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small)
+        assert docs.count() == 0
