@@ -20,7 +20,7 @@ SAMPLE = 400
 CENTROIDS = 3
 #: A text is rejected where its cosine falls below this share of what nearly all fitted texts of the centroid reach;
 #: texts of fewer than SHORT distinct n-grams reach less by nature, and their floor falls with the root of the number.
-REJECT_SHARE, SHORT = 0.2, 64
+REJECT_SHARE, SHORT = 0.12, 64
 _SLICE_ROWS = 256
 
 
