@@ -113,6 +113,10 @@ def _search(index: PieceIndex):
         rep = np.repeat(np.arange(len(at)), n)
         entry = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
         piece = index.owner[entry]
+        # a text that holds too few of a piece's q-grams in all has no band with enough
+        pair = doc[rep] * len(index.piece) + piece
+        enough = np.bincount(pair, minlength=(len(offsets) - 1) * len(index.piece))[pair] >= index.need[piece]
+        rep, entry, piece, pair = rep[enough], entry[enough], piece[enough], pair[enough]
         diagonal = at[rep] - offsets[doc[rep]] - index.place[entry]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         if not len(piece):
@@ -120,11 +124,11 @@ def _search(index: PieceIndex):
         band = diagonal // step
         shift = int(-band.min()) + 1
         span = int(band.max()) + shift + 2
-        key = (doc[rep] * len(index.piece) + piece) * span + band + shift
-        both = np.concatenate([key, key - 1])  # band b covers diagonals from step * b to step * (b + 2) - 1
-        keys, counts = np.unique(both, return_counts=True)
-        pieces = keys // span % len(index.piece)
-        good = counts >= index.need[pieces]
+        keys, counts = np.unique(pair * span + band + shift, return_counts=True)
+        # band b covers diagonals from step * b to step * (b + 2) - 1; one that starts empty holds no more than the next
+        follows = np.append(keys[1:] == keys[:-1] + 1, False)
+        counts = counts + np.where(follows, np.append(counts[1:], 0), 0)
+        good = counts >= index.need[keys // span % len(index.piece)]
         for k in keys[good].tolist():
             pair, b = divmod(k, span)
             d, p = divmod(pair, len(index.piece))
@@ -139,7 +143,7 @@ def _search(index: PieceIndex):
         for batch in batches:
             rows: list[tuple] = []
             ids = batch.column(0)
-            for a, _, data, offsets in text_slices(batch.column(1)):
+            for a, _, data, offsets in text_slices(batch.column(1), max_rows=4096):
                 norm, noffs, at = collapsed(data, offsets)
                 for (d, p), (start, end, edits) in in_run(norm, noffs).items():
                     base = noffs[d]
