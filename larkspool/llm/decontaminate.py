@@ -12,6 +12,10 @@ from .common import GOLDEN, collapsed, text_slices
 Q = 8
 #: Benchmark items are searched in pieces of this many collapsed bytes, each half over the one before.
 PIECE = 120
+#: They are searched in shorter pieces too, one every SHORT_STEP bytes, so that each excerpt of EXCERPT collapsed
+#: bytes (13 words or so) holds a whole one, wherever it begins.
+SHORT, SHORT_STEP = 56, 17
+EXCERPT = SHORT + SHORT_STEP - 1
 #: Edits allowed for each byte of a piece.
 BUDGET = 0.08
 #: Bytes of benchmark text that one pass holds in memory on each executor; more text takes more passes.
@@ -22,19 +26,19 @@ _BITS = 22
 class PieceIndex:
     """All q-grams of the pieces of some benchmark items, sorted, with piece and place."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], size: int = PIECE, step: int = PIECE // 2, least: int = Q):
         self.item: list[int] = []
         self.piece: list[np.ndarray] = []
         for key, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             norm, _, _ = collapsed(raw, np.array([0, len(raw)]))
             norm = np.frombuffer(norm.tobytes().strip(), np.uint8)
-            if len(norm) < Q:
+            if len(norm) < least:
                 continue
-            last = max(0, len(norm) - PIECE)
-            for start in sorted({*range(0, last, PIECE // 2), last}):
+            last = max(0, len(norm) - size)
+            for start in sorted({*range(0, last, step), last}):
                 self.item.append(key)
-                self.piece.append(norm[start : start + PIECE])
+                self.piece.append(norm[start : start + size])
         self.length = np.array([len(p) for p in self.piece], np.int64)
         self.edits = np.floor(self.length * BUDGET).astype(np.int64)
         self.need = np.maximum(1, self.length - Q + 1 - Q * self.edits)
@@ -48,6 +52,12 @@ class PieceIndex:
         self.seen[_slot(self.gram)] = True
 
 
+def _indexes(items: list[tuple[int, str]]) -> list[PieceIndex]:
+    """Long pieces, then short ones of the items that are longer than one of them."""
+    both = [PieceIndex(items), PieceIndex(items, SHORT, SHORT_STEP, SHORT + 1)]
+    return [x for x in both if x.piece]
+
+
 def _grams(data: np.ndarray) -> np.ndarray:
     """Every run of Q = 8 bytes as one integer."""
     n = len(data) - Q + 1
@@ -84,15 +94,13 @@ def banded_edits(piece: np.ndarray, text: np.ndarray, first: int, width: int, mo
     return int(row[at]), at + first + len(piece)
 
 
-def _search(index: PieceIndex):
-    longest = int(index.length.max())
-    slack = int(index.edits.max())
-    step = max(1, slack)
-
-    def in_run(norm: np.ndarray, offsets: np.ndarray):
+def _search(indexes: list[PieceIndex]):
+    def in_run(index: PieceIndex, norm: np.ndarray, offsets: np.ndarray, grams: np.ndarray, slots: np.ndarray):
         """(text, piece, start, end, edits) of each piece found, in collapsed positions inside the text."""
-        grams = _grams(norm)
-        hit = index.seen[_slot(grams)]
+        longest = int(index.length.max())
+        slack = int(index.edits.max())
+        step = max(1, slack)
+        hit = index.seen[slots]
         # bands can only fill where enough q-grams of any piece stand within one piece's reach
         sums = np.zeros(len(grams) + 1, np.int64)
         np.cumsum(hit, out=sums[1:])
@@ -115,7 +123,8 @@ def _search(index: PieceIndex):
         piece = index.owner[entry]
         # a text that holds too few of a piece's q-grams in all has no band with enough
         pair = doc[rep] * len(index.piece) + piece
-        enough = np.bincount(pair, minlength=(len(offsets) - 1) * len(index.piece))[pair] >= index.need[piece]
+        _, which, held = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = held[which] >= index.need[piece]
         rep, entry, piece, pair = rep[enough], entry[enough], piece[enough], pair[enough]
         diagonal = at[rep] - offsets[doc[rep]] - index.place[entry]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -132,8 +141,16 @@ def _search(index: PieceIndex):
         for k in keys[good].tolist():
             pair, b = divmod(k, span)
             d, p = divmod(pair, len(index.piece))
+            if (d, p) in found and not found[d, p][2]:
+                continue
             text = norm[offsets[d] : offsets[d + 1]]
             first = (b - shift) * step
+            # a piece without edits needs no alignment
+            low = max(0, first)
+            exact = text[low : max(0, first + 2 * step + int(index.length[p]))].tobytes().find(index.piece[p].tobytes())
+            if exact >= 0:
+                found[d, p] = (low + exact, low + exact + int(index.length[p]), 0)
+                continue
             edits, end = banded_edits(index.piece[p], text, first - step, 4 * step, int(index.edits[p]))
             if edits <= index.edits[p] and ((d, p) not in found or found[d, p][2] > edits):
                 found[d, p] = (max(0, end - int(index.length[p]) - edits), end, edits)
@@ -145,10 +162,15 @@ def _search(index: PieceIndex):
             ids = batch.column(0)
             for a, _, data, offsets in text_slices(batch.column(1), max_rows=4096):
                 norm, noffs, at = collapsed(data, offsets)
-                for (d, p), (start, end, edits) in in_run(norm, noffs).items():
-                    base = noffs[d]
-                    raw = (int(at[base + start] - offsets[d]), int(at[base + end - 1] - offsets[d]) + 1)
-                    rows.append((ids[a + d].as_py(), index.item[p], p, *raw, edits))
+                grams = _grams(norm)
+                slots = _slot(grams)
+                number = 0
+                for index in indexes:
+                    for (d, p), (start, end, edits) in in_run(index, norm, noffs, grams, slots).items():
+                        base = noffs[d]
+                        raw = (int(at[base + start] - offsets[d]), int(at[base + end - 1] - offsets[d]) + 1)
+                        rows.append((ids[a + d].as_py(), index.item[p], number + p, *raw, edits))
+                    number += len(index.piece)
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "item_id", "piece", "start", "end", "edits"])
 
@@ -160,7 +182,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Texts are compared with ASCII letters in lower case and each run of other ASCII bytes than letters and
     digits as one space. Items are cut into pieces of PIECE bytes, half over each other; shorter items are one
-    piece. A piece is found where at most BUDGET of its bytes are edited. By the q-gram lemma such a place keeps
+    piece. Items longer than SHORT are also cut into pieces of SHORT bytes, so that any excerpt of EXCERPT
+    unedited bytes holds a whole piece. A piece is found where at most BUDGET of its bytes are edited. By the q-gram lemma such a place keeps
     length - Q + 1 - Q * edits q-grams within a diagonal band; overlapping bands that hold as many are verified by
     banded alignment, and the best place of each piece and text is reported in bytes of the text. start is at
     most the number of edits too far left.
@@ -175,8 +198,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     out, held, size = None, [], 0
 
     def search(part):
-        index = PieceIndex(part)
-        return rows.mapInArrow(_search(index), schema) if index.piece else None
+        indexes = _indexes(part)
+        return rows.mapInArrow(_search(indexes), schema) if indexes else None
 
     parts = []
     for r in items.orderBy("k").toLocalIterator():

@@ -254,6 +254,18 @@ def test_leaks(spark, odd, none):
     assert decontaminate.leaks(odd, bench).count() == 0
 
 
+def test_leaks_excerpts(spark):
+    """Every excerpt of the stated length is found, wherever it begins; random prose of the same length is not."""
+    item, size = words(78, 60), decontaminate.EXCERPT
+    assert size <= 80
+    n = len(item) - size + 1
+    docs = [(i, words(900 + i, 30) + " " + item[i : i + size] + " " + words(90 + i, 30)) for i in range(n)] + [(9000 + i, words(5000 + i, 90)) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (10, words(79, 60))], "item_id long, text string")
+    found = decontaminate.contaminated(decontaminate.leaks(df, bench)).collect()
+    assert sorted((r.id, r.item_id) for r in found) == [(i, 9) for i in range(n)]
+
+
 def test_banded_edits():
     def plain(p, t):
         row = [0] * (len(t) + 1)
