@@ -18,9 +18,14 @@ DIMS = 1 << DIMS_BITS
 #: Labelled texts of each language that the centroids are fitted on, about; counts of n-grams cover all texts.
 SAMPLE = 400
 CENTROIDS = 3
-#: A text is rejected where its cosine falls below this share of what nearly all fitted texts of the centroid reach;
-#: texts of fewer than SHORT distinct n-grams reach less by nature, and their floor falls with the root of the number.
-REJECT_SHARE, SHORT = 0.12, 64
+#: A text is rejected by what texts of as many distinct n-grams reach: below MARGIN of the way from random words (all but
+#: this quantile of them) up to this quantile of labelled texts of its language. Bands are powers of two; excerpts of
+#: EXCERPTS letters of the fitted texts fill them.
+REJECT_QUANTILE, MARGIN = 0.005, 1 / 3
+EXCERPTS = tuple(8 << k for k in range(11))
+BANDS = DIMS_BITS + 1
+#: Fewer excerpts in a band, or fitted texts of a language, are too few for a quantile.
+CALIBRATE = 20
 _SLICE_ROWS = 256
 
 
@@ -29,7 +34,7 @@ class CentroidModel:
     languages: tuple[str, ...]
     owner: np.ndarray  # language number of each centroid
     centroids: np.ndarray  # (centroids, DIMS), unit length
-    floor: np.ndarray  # cosine under which a text is rejected, by centroid
+    floor: np.ndarray  # (languages, BANDS), cosine under which a text is rejected
     idf: np.ndarray
 
 
@@ -71,6 +76,59 @@ def _document_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], texts))], names=["slot", "n"])
 
 
+def _bands(counts: np.ndarray) -> np.ndarray:
+    """Band of each text: the whole part of log2 of its number of distinct n-grams."""
+    return np.log2(np.maximum(1, (counts > 0).sum(axis=1))).astype(np.int64)
+
+
+def _excerpts(texts: list[str]) -> list[str]:
+    """Each text, and for each length a stretch of it; one too short is followed by the texts after it."""
+    rng = np.random.default_rng(1)
+    stream, starts = " ".join(texts), np.cumsum([0] + [len(t) + 1 for t in texts])
+    out = list(texts)
+    for size in EXCERPTS:
+        for start, t in zip(starts.tolist(), texts, strict=False):
+            a = start + int(rng.integers(0, max(0, len(t) - size) + 1))
+            out.append(stream[a : a + size])
+    return out
+
+
+def _noise() -> list[str]:
+    """Words of random letters, of each length of EXCERPTS."""
+    rng = np.random.default_rng(2)
+    out = []
+    for size in EXCERPTS:
+        letters = rng.integers(97, 123, (CALIBRATE, size)).astype(np.uint8)
+        letters[rng.random(letters.shape) < 1 / 6] = 32
+        out += [row.tobytes().decode() for row in letters]
+    return out
+
+
+def _floors(texts: list[str], centres: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Floor of each band from texts of one language and excerpts of them; nan where they are too few to tell."""
+    floor = np.full(BANDS, np.nan)
+    if len(texts) < CALIBRATE:
+        return floor
+
+    def reached(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for _, _, d, o in text_slices(pa.array(texts, pa.string()), max_rows=_SLICE_ROWS):
+            counts = _counts(d, o)
+            found.append(((_vectors(counts, idf) @ centres.T).max(axis=1), _bands(counts)))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    (clean, band), (noise, noise_band) = reached(_excerpts(texts)), reached(_noise())
+    low = high = 0.0
+    for b in range(BANDS):
+        own, other = clean[band == b], noise[noise_band == b]
+        if len(own) >= CALIBRATE:
+            low = float(np.quantile(own, REJECT_QUANTILE, method="lower"))
+        if len(other):
+            high = float(np.quantile(other, 1 - REJECT_QUANTILE))
+        floor[b] = min(low, high + (low - high) * MARGIN) if low > high else low
+    return floor
+
+
 def _cluster(idf: np.ndarray):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Spherical k-means over the sample of one language, started from texts far from each other."""
@@ -85,13 +143,9 @@ def _cluster(idf: np.ndarray):
             near = (x @ centres.T).argmax(axis=1)
             centres = np.stack([x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-        cosine = (x @ centres.T).max(axis=1)
-        near = (x @ centres.T).argmax(axis=1)
-        rows = []
-        for c in range(len(centres)):
-            own = cosine[near == c]
-            if len(own):
-                rows.append((group["lang"].iloc[0], centres[c].astype(np.float32).tobytes(), float(np.quantile(own, 0.01)) * REJECT_SHARE))
+        used = np.unique((x @ centres.T).argmax(axis=1))
+        floor = _floors(group["text"].tolist(), centres[used], idf).tobytes()
+        rows = [(group["lang"].iloc[0], centres[c].astype(np.float32).tobytes(), floor) for c in used]
         return pd.DataFrame(rows, columns=["lang", "centre", "floor"])
 
     return run
@@ -120,12 +174,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     per_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
     key = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40)).alias("key")
     sample = rows.select("lang", "text", key).join(F.broadcast(per_lang), "lang").where(F.col("key") * F.col("n") <= F.lit(SAMPLE) * F.lit(1 << 40)).drop("n")
-    fitted = sample.groupBy("lang").applyInPandas(_cluster(idf), "lang string, centre binary, floor double").collect()
+    fitted = sample.groupBy("lang").applyInPandas(_cluster(idf), "lang string, centre binary, floor binary").collect()
     if not fitted:  # a tiny table whose few rows all missed the share
-        fitted = rows.select("lang", "text", key).groupBy("lang").applyInPandas(_cluster(idf), "lang string, centre binary, floor double").collect()
+        fitted = rows.select("lang", "text", key).groupBy("lang").applyInPandas(_cluster(idf), "lang string, centre binary, floor binary").collect()
     fitted.sort(key=lambda r: (r[0], bytes(r[1])))
     languages = tuple(sorted({r[0] for r in fitted}))
-    return CentroidModel(languages, np.array([languages.index(r[0]) for r in fitted]), np.stack([np.frombuffer(r[1], np.float32) for r in fitted]), np.array([r[2] for r in fitted]), idf)
+    by_lang = {r[0]: np.frombuffer(r[2]) for r in fitted}
+    floor = np.stack([by_lang[k] for k in languages])
+    # a language of too few texts takes the lowest floors of the others; without any, nothing is too far
+    lowest = np.where(np.isnan(floor), np.inf, floor).min(axis=0)
+    floor = np.where(np.isnan(floor), np.where(np.isinf(lowest), 0.0, lowest), floor)
+    return CentroidModel(languages, np.array([languages.index(r[0]) for r in fitted]), np.stack([np.frombuffer(r[1], np.float32) for r in fitted]), floor, idf)
 
 
 def _predict(shared, n_keep: int):
@@ -140,12 +199,10 @@ def _predict(shared, n_keep: int):
                 cosine = x @ m.centroids.T
                 by_lang = np.maximum.reduceat(cosine, starts, axis=1)
                 best = by_lang.argmax(axis=1)
-                nearest = cosine.argmax(axis=1)
                 score = np.clip(by_lang.max(axis=1), 0.0, 1.0).astype(np.float64)
                 usable = letters[a:b]
                 names = pa.array([m.languages[k] if ok else "und" for k, ok in zip(best, usable, strict=True)], pa.string())
-                floor = m.floor[nearest] * np.sqrt(np.minimum(1.0, (counts > 0).sum(axis=1) / SHORT))
-                rejected = ~usable | (cosine.max(axis=1) < floor)
+                rejected = ~usable | (cosine.max(axis=1) < m.floor[best, _bands(counts)] - 1e-5)
                 rest = [batch.column(2 + i).slice(a, b - a) for i in range(n_keep)]
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.where(usable, score, 0.0)), pa.array(rejected), *rest], names=["lang_pred", "score", "rejected", *batch.schema.names[2:]])
 
@@ -157,7 +214,8 @@ def identify(docs: DataFrame, model: CentroidModel | None, text_col: str = "text
 
     The whole text of each row is compared with every centroid. A null text or one without a letter is ``und``
     with score 0 and rejected; so is every text if no model could be fitted. Another text is rejected where it
-    lies too far from its nearest centroid; its nearest language is named all the same. Columns of docs that
+    lies nearly as far from its nearest centroid as random words of as many distinct n-grams, measured against
+    labelled texts and excerpts of that language; its nearest language is named all the same. Columns of docs that
     bear one of the new names are replaced; other columns, repeated rows and ids play no part.
     """
     spark = docs.sparkSession

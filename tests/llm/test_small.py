@@ -1,5 +1,6 @@
 """Odd tables for every corpus operator and stage: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import base64
 import hashlib
 import zlib
 
@@ -43,6 +44,21 @@ def test_language(spark, odd, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_language_rejects_by_length(spark, small):
+    """Foreign and random texts of ordinary length go, labelled texts and their first words stay."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.fit(docs)
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    code = base64.b64encode(np.random.default_rng(5).bytes(450)).decode()
+    far = [polish, polish * 10, code, words(11, 100), words(12, 1000), words(13, 5000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(far)], "doc_id long, text string")
+    assert langid.identify(df, model).where("not rejected").count() == 0
+    clean = docs.where("length(text) > 600")
+    for n in (2, 5, 20, 2000):
+        first = clean.select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, n), " ").alias("text"))
+        assert langid.identify(first, model).where("rejected").count() <= 0.01 * clean.count()
+
+
 def test_mix(spark, odd, none):
     got = mixing.mix(odd.where("text is null or length(text) < 100"), block=4).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in got) and len(got) == 9
