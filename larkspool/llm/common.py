@@ -44,6 +44,20 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Hashed keys that draw a sample are below this.
+KEYS = 1 << 40
+
+
+def sample_key(*cols: str | Column) -> Column:
+    """A hash of the columns, uniform below KEYS."""
+    return F.pmod(F.xxhash64(*cols), F.lit(KEYS))
+
+
+def in_sample(key: Column, n: Column, size: int) -> Column:
+    """Whether a row of n is in a sample of about size, by its key. In double: key * n overflows from 2**23 rows on."""
+    return key.cast("double") <= F.lit(float(size * KEYS)) / F.greatest(n.cast("double"), F.lit(1.0))
+
+
 # ---------------------------------------------------------------- flat text kernels (used inside Arrow tasks)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

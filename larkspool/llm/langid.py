@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, LOWER, NO_LETTER, text_slices
+from .common import GOLDEN, LOWER, NO_LETTER, in_sample, sample_key, text_slices
 
 DIMS_BITS = 12
 DIMS = 1 << DIMS_BITS
@@ -159,7 +159,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Centroids from labelled texts; None where no row has a language and a text with a letter.
 
     Document frequencies cover all labelled texts. Centroids are fitted on about SAMPLE texts of each language,
-    those whose hashed id is smallest in share; only centroids and one count per n-gram slot reach the driver.
+    those whose hashed id and text are smallest in share; only centroids and one count per n-gram slot reach the driver.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -172,8 +172,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df[list(found)] = list(found.values())
     idf = (np.log((1.0 + texts) / (1.0 + df)) + 1.0).astype(np.float32)
     per_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    key = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40)).alias("key")
-    sample = rows.select("lang", "text", key).join(F.broadcast(per_lang), "lang").where(F.col("key") * F.col("n") <= F.lit(SAMPLE) * F.lit(1 << 40)).drop("n")
+    key = sample_key("id", "text", F.lit(1)).alias("key")
+    sample = rows.select("lang", "text", key).join(F.broadcast(per_lang), "lang").where(in_sample(F.col("key"), F.col("n"), SAMPLE)).drop("n")
     fitted = sample.groupBy("lang").applyInPandas(_cluster(idf), "lang string, centre binary, floor binary").collect()
     if not fitted:  # a tiny table whose few rows all missed the share
         fitted = rows.select("lang", "text", key).groupBy("lang").applyInPandas(_cluster(idf), "lang string, centre binary, floor binary").collect()

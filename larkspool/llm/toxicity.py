@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_LETTER, materialize, text_slices, word_hashes
+from .common import NO_LETTER, in_sample, materialize, sample_key, text_slices, word_hashes
 
 #: Labelled texts of each class that the model is fitted on, about.
 SAMPLE = 8000
@@ -126,9 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     totals = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    key = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40))
+    key = sample_key("id", F.lit(5))
     bound = F.when(F.col("y") == 1, F.lit(totals.get(1, 0))).otherwise(F.lit(totals.get(0, 0)))
-    chosen = known.where(key * bound <= F.lit(SAMPLE) * F.lit(1 << 40))
+    chosen = known.where(in_sample(key, bound, SAMPLE))
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the sample is bounded by 2 * SAMPLE ids, about
     sample = text.join(F.broadcast(chosen), "id").groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"), F.max("y").alias("y"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspool.llm import decontaminate, langid, licences, mixing, neardup, reshard, substrings, tokens, topk, toxicity
+from larkspool.llm import common, decontaminate, langid, licences, mixing, neardup, reshard, substrings, tokens, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, score string, h string, a string"
 
@@ -59,6 +59,25 @@ def test_language_rejects_by_length(spark, small):
         assert langid.identify(first, model).where("rejected").count() <= 0.01 * clean.count()
 
 
+def test_samples_of_many_rows(spark):
+    """More than 2**23 labelled rows of a class or language neither overflow nor take all."""
+    labels = spark.range(9_000_000).select(F.col("id").alias("doc_id"), (F.col("id") % 900_000 == 0).cast("int").alias("toxic"))
+    docs = spark.createDataFrame([(i * 900_000, "a bad word") for i in range(10)], "doc_id long, text string")
+    assert toxicity.fit(docs, labels) is not None
+    rows = spark.range(100_000).select(common.sample_key("id", F.lit(1)).alias("key"))
+    got = rows.where(common.in_sample(F.col("key"), F.lit(1 << 40), (1 << 40) // 100)).count()
+    assert 800 < got < 1200
+
+
+def test_language_sample_of_null_ids(spark):
+    """Rows without an id are sampled one by one: their language is learnt."""
+    text = ["the cat sat on the mat number ", "le chat est sur le tapis de la maison "]
+    rows = [(None, text[i % 2] + words(i, 2), ("en", "fr")[i % 2]) for i in range(4000)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("en", "fr")
+    assert (~np.isnan(model.floor)).all() and (model.floor > 0).any()
+
+
 def test_mix(spark, odd, none):
     got = mixing.mix(odd.where("text is null or length(text) < 100"), block=4).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in got) and len(got) == 9
