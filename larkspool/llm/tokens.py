@@ -1,8 +1,8 @@
-"""Token ids in a binary format: blocks coded by an adaptive context-mixing range coder, reset and checksummed each."""
+"""Token ids in a binary format: segments of blocks coded by an adaptive context-mixing range coder."""
 
 from __future__ import annotations
 
-import struct
+import re
 import zlib
 
 import numpy as np
@@ -11,183 +11,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ids in a block; a block's ids are coded as places in its sorted list of distinct ids, numbers of BITS bits.
-BLOCK, BITS = 4096, 12
+from .mixcoder import decode_ids, encode_ids
+
 #: Ids in a segment, about: whole documents, whose blocks are coded side by side.
-SEGMENT = 4 << 20
+SEGMENT = 16 << 20
 #: Documents for each range of the file, about.
-RANGE_ROWS = 3000
-MAGIC = b"LKT2"
-_SLOTS = 12  # bits of a lane's tables of contexts
-_STEP = 8  # what a count grows by; BLOCK * _STEP + 64 stays below 2**16
-_HALF = BITS // 2
-_FULL, _LOW32 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFF)
-_BOTTOM = np.uint64(1 << 16)
-_K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
-
-
-class _Range:
-    """A carry-free range coder in every lane: 64-bit low and range, words of 32 bits."""
-
-    def __init__(self, lanes: int, codes: list[bytes] | None = None):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
-        self.words: list[tuple[np.ndarray, np.ndarray]] = []
-        if codes is not None:
-            width = max(len(c) for c in codes) // 4 + 4
-            self.data = np.zeros((lanes, width), np.uint64)
-            for i, c in enumerate(codes):
-                w = np.frombuffer(c[: len(c) // 4 * 4], ">u4")
-                self.data[i, : len(w)] = w
-            self.code = (self.data[:, 0] << np.uint64(32)) | self.data[:, 1]
-            self.at = np.full(lanes, 2, np.int64)
-        self.reading = codes is not None
-
-    def aim(self, who: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Reading: the place of each lane's code in its total."""
-        self.unit = self.range[who] // total
-        return np.minimum((self.code[who] - self.low[who]) // self.unit, total - np.uint64(1))
-
-    def step(self, who: np.ndarray, before: np.ndarray, count: np.ndarray, total: np.ndarray) -> None:
-        """Narrow each lane's range to count of total parts, after those before."""
-        unit = self.unit if self.reading else self.range[who] // total
-        low = self.low[who] + before * unit
-        span = count * unit
-        while True:
-            same = ((low ^ (low + span)) >> np.uint64(32)) == 0
-            tight = ~same & (span < _BOTTOM)
-            out = np.flatnonzero(same | tight)
-            if not out.size:
-                break
-            span[tight] = (~low[tight] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-            lanes = who[out]
-            if self.reading:
-                more = self.data[lanes, np.minimum(self.at[lanes], self.data.shape[1] - 1)]
-                self.code[lanes] = (self.code[lanes] << np.uint64(32)) | more
-                self.at[lanes] += 1
-            else:
-                self.words.append((lanes, (low[out] >> np.uint64(32)).astype(np.uint32)))
-            low[out] <<= np.uint64(32)
-            span[out] <<= np.uint64(32)
-        self.low[who], self.range[who] = low, span
-
-    def codes(self) -> list[bytes]:
-        everyone = np.arange(len(self.low))
-        tail = [(everyone, (self.low >> np.uint64(32)).astype(np.uint32)), (everyone, (self.low & _LOW32).astype(np.uint32))]
-        lanes = np.concatenate([w[0] for w in self.words + tail])
-        words = np.concatenate([w[1] for w in self.words + tail]).astype(">u4")
-        order = np.argsort(lanes, kind="stable")
-        ends = np.searchsorted(lanes[order], np.arange(len(self.low) + 1))
-        words = words[order]
-        return [words[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-
-
-def _run_lanes(lanes: int, n: int, ranks: np.ndarray | None = None, codes: list[bytes] | None = None):
-    """Codes ranks, one row a lane, or reads codes back: the same model drives both.
-
-    The ids after the last two and after the last one that stood here before are the predictions of order 2 and
-    1, each with a count of how often it has come true in a row. A first step says which of them holds, if any, by
-    counts learnt for each pair of confidences; else the id comes from the adaptive counts of order 0, its high
-    half and then its low half. Lanes run side by side and share nothing.
+RANGE_ROWS = 12_000
+#: Pieces that a task remembers the ids of, and their characters; beyond that it forgets all and goes on.
+PIECES, PIECE_CHARS = 300_000, 16 << 20
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_WIDE = re.compile(r"\s\s")
+
+
+def _cuts_are_safe(tokenizer) -> bool:
+    """Whether no token of any text goes over a single space between two characters that are none, but starts there.
+
+    So it is in byte-level tokenizers that split by their own pattern and change no text before: a lone space
+    always begins a new word. Special tokens must not take in the spaces beside them or hold one.
+    """
+    split = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or type(split).__name__ != "ByteLevel" or split.add_prefix_space or not split.use_regex:
+        return False
+    return not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in tokenizer.get_added_tokens_decoder().values())
+
+
+class _Known(dict):
+    """Numbers of pieces; a new piece gets the next one and is noted."""
+
+    def __init__(self, lead: str, new: list[str], count: list[int]):
+        self.lead, self.new, self.count = lead, new, count
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = self.count[0]
+        self.count[0] += 1
+        self.new.append(self.lead + piece)
+        return n
+
+
+class Encoder:
+    """Ids of whole texts by a tokenizer of the tokenizers library.
+
+    Texts are cut where the tokenizer starts anew in any case, and each different piece goes through it once;
+    where cuts are not safe, texts go through it whole.
     """
-    coder = _Range(lanes, codes)
-    everyone = np.arange(lanes)
-    guess = np.zeros((2, lanes << _SLOTS), np.uint16)
-    trust = np.zeros((2, lanes << _SLOTS), np.uint8)
-    base = everyone << _SLOTS
-    which = np.ones((lanes, 32, 3), np.uint32)
-    which[:, :, 2] = 8
-    high = np.ones((lanes, 1 << _HALF), np.uint32)
-    low = np.ones((lanes, 1 << _HALF, 1 << _HALF), np.uint16)
-    out = np.zeros((lanes, n), np.uint16)
-    one = two = np.zeros(lanes, np.uint32)
-    ending = np.uint32(32 - _SLOTS)
-
-    def among(who, counts, chosen):
-        """One step with a choice by counts, one row for each of who; the choice made."""
-        sums = np.cumsum(counts, axis=1, dtype=np.uint64)
-        total = sums[:, -1]
-        if chosen is None:
-            aim = coder.aim(who, total)
-            chosen = (sums <= aim[:, None]).sum(axis=1)
-        rows = np.arange(len(who))
-        count = counts[rows, chosen].astype(np.uint64)
-        coder.step(who, sums[rows, chosen] - count, count, total)
-        return chosen
-
-    for t in range(n):
-        slot2 = base + ((((one + np.uint32(1)) * _K1 ^ (two + np.uint32(7)) * _K2) * _K1) >> ending)
-        slot1 = base + (((one + np.uint32(1)) * _K2) >> ending)
-        g2, g1, t2, t1 = guess[0, slot2], guess[1, slot1], trust[0, slot2], trust[1, slot1]
-        state = np.minimum(t2, 3).astype(np.int64) * 8 + np.minimum(t1, 3) * 2 + (g2 == g1)
-        counts = which[everyone, state]
-        symbol = None if ranks is None else ranks[:, t]
-        choice = None if symbol is None else np.where((symbol == g2) & (t2 > 0), 0, np.where((symbol == g1) & (t1 > 0), 1, 2))
-        choice = among(everyone, counts, choice)
-        which[everyone, state, choice] += 2
-        found = np.where(choice == 0, g2, g1)
-        miss = np.flatnonzero(choice == 2)
-        if miss.size:
-            upper = among(miss, high[miss], None if symbol is None else symbol[miss] >> _HALF)
-            lower = among(miss, low[miss, upper], None if symbol is None else symbol[miss] & ((1 << _HALF) - 1))
-            high[miss, upper] += _STEP
-            low[miss, upper, lower] += _STEP
-            found[miss] = (upper << _HALF) | lower
-        out[:, t] = found
-        for k, slot, g, c in ((0, slot2, g2, t2), (1, slot1, g1, t1)):
-            right = (found == g) & (c > 0)
-            guess[k, slot] = found
-            trust[k, slot] = np.where(right, np.minimum(c, 250) + 1, 1)
-        two, one = one, found.astype(np.uint32)
-    return out if ranks is None else coder.codes()
-
-
-def _encode_lanes(ranks: np.ndarray) -> list[bytes]:
-    """One code for each row of ranks."""
-    return _run_lanes(*ranks.shape, ranks=ranks.astype(np.int64))
-
-
-def _decode_lanes(codes: list[bytes], n: int) -> np.ndarray:
-    return _run_lanes(len(codes), n, codes=codes)
-
-
-def encode_ids(ids: np.ndarray) -> bytes:
-    """A segment: each block of ids as magic, number of ids, number of distinct ids, lengths, checksum of the
-    ids, their sorted list as differences, and code. Every block can be read by itself."""
-    blocks = [ids[i : i + BLOCK].astype(np.uint32) for i in range(0, len(ids), BLOCK)]
-    full = [b for b in blocks if len(b) == BLOCK]
-    parts = [np.unique(b, return_inverse=True) for b in blocks]
-    codes = _encode_lanes(np.stack([p[1] for p in parts[: len(full)]])) if full else []
-    if len(blocks) > len(full):
-        codes += _encode_lanes(parts[-1][1][None, :])
-    out = []
-    for b, (distinct, _), code in zip(blocks, parts, codes, strict=True):
-        known = zlib.compress(np.diff(distinct, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
-        out.append(MAGIC + struct.pack("<IIIII", len(b), len(distinct), len(known), len(code), zlib.crc32(b.astype("<u4").tobytes())) + known + code)
-    return b"".join(out)
-
-
-def decode_ids(segment: bytes) -> np.ndarray:
-    """The ids of a segment; a block that is damaged or doesn't match its checksum raises ValueError."""
-    at, heads = 0, []
-    while at < len(segment):
-        if segment[at : at + 4] != MAGIC:
-            raise ValueError(f"no block at byte {at}")
-        n, distinct, known, size, crc = struct.unpack_from("<IIIII", segment, at + 4)
-        at += 24
-        if at + known + size > len(segment):
-            raise ValueError("the segment ends inside a block")
-        listed = np.cumsum(np.frombuffer(zlib.decompress(segment[at : at + known]), "<u4"), dtype=np.uint32)
-        heads.append((n, listed, segment[at + known : at + known + size], crc))
-        at += known + size
-    out: list[np.ndarray] = []
-    for n in sorted({h[0] for h in heads}, reverse=True):  # all blocks but the last are full
-        same = [h for h in heads if h[0] == n]
-        ranks = _decode_lanes([h[2] for h in same], n)
-        for (_, listed, _, crc), r in zip(same, ranks, strict=True):
-            if int(r.max(initial=0)) >= len(listed) or zlib.crc32((ids := listed[r]).astype("<u4").tobytes()) != crc:
-                raise ValueError("a block doesn't match its checksum")
-            out.append(ids)
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.cut = _cuts_are_safe(self.tokenizer)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.new: list[str] = []
+        self.count, self.chars = [0], 0
+        self.first, self.later = _Known("", self.new, self.count), _Known(" ", self.new, self.count)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts laid end to end, and the number of each."""
+        if not self.cut:
+            found = self._whole(texts)
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+        if self.count[0] > PIECES or self.chars > PIECE_CHARS:
+            self._forget()
+        numbers, sizes = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            pieces = _CUT.split(text) if _WIDE.search(text) else text.split(" ")
+            sizes[i] = len(pieces)
+            numbers.append(self.first[pieces[0]])
+            numbers += map(self.later.__getitem__, pieces[1:])
+        if self.new:
+            found = self._whole(self.new)
+            self.chars += sum(map(len, self.new))
+            self.ids = np.concatenate([self.ids, *found])
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(x) for x in found]))
+            self.new.clear()
+        at = np.array(numbers, np.int64)
+        lengths = self.ends[at + 1] - self.ends[at]
+        ends = np.cumsum(lengths)
+        out = self.ids[np.arange(int(lengths.sum())) + np.repeat(self.ends[at] - (ends - lengths), lengths)]
+        return out, np.diff(np.append(0, ends)[np.append(0, np.cumsum(sizes))])
 
 
 def _writer(tokenizer_path: str, end_id: int):
@@ -196,33 +103,32 @@ def _writer(tokenizer_path: str, end_id: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
+        encoder = Encoder(tokenizer_path)
         part, seq = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
+        lengths: list[int] = []
         held: list[np.ndarray] = []
         size = 0
 
         def flush():
-            nonlocal seq, docs, held, size
-            lengths = [len(x) for x in held]
-            row = [[part], [seq], [docs], [lengths], [size], [encode_ids(np.concatenate(held))]]
-            seq, docs, held, size = seq + 1, [], [], 0
+            nonlocal seq, docs, lengths, held, size
+            ids = np.concatenate(held)
+            held = []
+            row = [[part], [seq], [docs], [lengths], [size], [encode_ids(ids)]]
+            seq, docs, lengths, size = seq + 1, [], [], 0
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "seq", "docs", "lengths", "n_ids", "blocks"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                texts = [t or "" for t in batch.column(1).slice(a, 64).to_pylist()]
-                found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                for key, e in zip(batch.column(0).slice(a, 64).to_pylist(), found, strict=True):
-                    docs.append(key)
-                    held.append(np.append(np.asarray(e.ids, np.uint32), np.uint32(end_id)))
-                    size += len(held[-1])
-                    if size >= SEGMENT:
-                        yield flush()
+            for a in range(0, batch.num_rows, 256):
+                ids, n = encoder.encode([t or "" for t in batch.column(1).slice(a, 256).to_pylist()])
+                held.append(np.insert(ids, np.cumsum(n), np.uint32(end_id)).astype(np.uint32))
+                docs += batch.column(0).slice(a, 256).to_pylist()
+                lengths += (n + 1).tolist()
+                size += len(held[-1])
+                if size >= SEGMENT:
+                    yield flush()
         if held:
             yield flush()
 
@@ -236,11 +142,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Write the ids of all texts, each followed by end_id, in ascending order of the id (null first).
 
     The folder holds segments: rows of part, seq (their order), ids and lengths of whole documents, and coded
-    blocks. Null texts are empty; equal ids follow each other; an empty table writes no segment.
+    blocks. Null texts are empty; rows of one id follow each other by a hash of their text, so that many of them
+    (or many without an id) spread over ranges; other columns are ignored; an empty table writes no segment. A
+    very long text is held whole by its task, and its ids fill blocks like others.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = max(1, -(-rows.count() // RANGE_ROWS))
-    dealt = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    order = [F.col("id"), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt.mapInArrow(_writer(tokenizer_path, end_id), SEGMENT_SCHEMA).write.mode("overwrite").parquet(path)
 
 
