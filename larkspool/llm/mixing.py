@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: packed blocks, urn draws per output shard, index permutations. Native Spark only."""
+"""Mixing sources to target weights: packed blocks, multinomial counts per output shard, index permutations. Native Spark only."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ from .common import materialize, sized
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
-SHARD_SLOTS = 4096
+#: Slots of an output shard, at least; no more than MOST_SHARDS shards are made.
+SHARD_SLOTS, MOST_SHARDS = 4096, 1 << 16
+#: Numbers looked up in a table of ranges go by runs of this many.
+RUN = 4096
 ROUNDS = 16
 
 
@@ -57,100 +60,148 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: flo
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, cap: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, with_text: bool = True) -> DataFrame:
-    """docs with size, source_size, target and taken (words of this row that the mix takes).
+    """docs with size, source_size, target and taken: the words of this row that all output shards take, repeats counted.
 
-    The words of each source, its rows in a hashed order, lie end to end in blocks of ``block`` words, the last
-    one shorter. All slots of the mix draw without replacement from an urn that holds each source as often as
-    its target needs, by a pseudorandom permutation of the slots: counts per output shard (a run of
-    SHARD_SLOTS slots) are multinomial draws given the totals, so targets hold to the word, but for a
-    short last block. A source's slots run through all its blocks before any comes again; within a pass,
-    a permutation of the source's own maps slot numbers to block numbers, and slots join blocks by number. The
-    last slot of a source takes only the words that its target still needs. A word is taken twice at most when
-    cap is 2.
+    See mixture() for how shards are filled; taken adds up what they hold. A word is taken twice at most when cap
+    is 2.
 
     A null or empty text has no words and is taken 0 times; a null source is a source; equal rows each hold
-    their own words; an empty table gives no rows. Columns that bear one of the new names are replaced. The
-    same rows and seed give the same result. Without with_text, docs of id, text and source come back as id and
-    source alone, and no text is shuffled.
+    their own words; an empty table gives no rows; a very long text costs one row for each block it reaches
+    into. Columns that bear one of the new names are replaced, whatever the others are called. The same rows and
+    seed give the same result. Without with_text, docs of id, text and source come back as id and source alone,
+    and no text is shuffled.
     """
     added = ("size", "source_size", "target", "taken")
     kept = [c for c in docs.columns if c not in added]
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    text_key = F.xxhash64(text_col, F.lit(7))
-    row_key = F.xxhash64(id_col, F.isnull(id_col), source_col, F.isnull(source_col), text_key)
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), words.alias("size"), F.xxhash64(id_col, F.lit(seed)).alias("_key"), row_key.alias("_row"))
-    rows = materialize(narrow, "sized")
-    sources = rows.groupBy(F.col("_src").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    sources = materialize(sources, "sources")
-    n_rows = sources.agg(F.sum("n_rows")).first()[0] or 0
-    n_sources = sources.count()
-    wanted = targets(sources.drop("n_rows"), weights, ratio, cap)
-    size, goal = F.col("source_size"), F.round("target").cast("long")
-    wanted = wanted.withColumns({"blocks": F.ceil(size / block), "passes": F.when(size > 0, F.floor(goal / size)).otherwise(0), "rest": F.when(size > 0, goal % size).otherwise(0)})
-    wanted = wanted.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
-    wanted = wanted.withColumn("lo", F.sum("slots").over(Window.orderBy("source_no")) - F.col("slots"))
-    wanted = materialize(wanted, "targets")
-
-    # positions of rows in their source's words: sums inside hashed buckets, then sums of buckets
-    buckets = max(64, int(n_rows**0.5))
-    names = sized(wanted.select(F.col("source").alias("_name"), "source_no"), n_sources)
-    rows = rows.join(names, F.col("_src").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int"))
-    inside = Window.partitionBy("source_no", "_bucket").orderBy("_key", "_row")
-    rows = rows.withColumns({"_rn": F.row_number().over(inside), "_at": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
-    rows = materialize(rows, "packed")
-    ahead = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("source_no", "_bucket").agg(F.sum("size").alias("words")).withColumn("_from", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words")
-    starts = materialize(starts, "starts")
-    spans = rows.select("source_no", "_bucket", "_rn", "size", "_at").join(sized(starts, n_sources * buckets), ["source_no", "_bucket"])
-    first = F.col("_from") + F.col("_at")
-    numbers = F.when(F.col("size") > 0, F.sequence(F.floor(first / block), F.floor((first + F.col("size") - 1) / block)))
-    spans = spans.withColumn("first", first).withColumn("block", F.explode(numbers))
-
-    taken = block_use(wanted, block, seed)
-    used = spans.join(taken, ["source_no", "block"])
-    begin = F.greatest(F.col("first"), F.col("block") * block)
-    end = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block)
-    partial = F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.col("part")) - begin)
-    per_row = used.groupBy("source_no", "_bucket", "_rn").agg(F.sum(F.col("times") * (end - begin) + partial).alias("taken"))
-    out = rows.select("source_no", "_bucket", "_rn", "_id", "_src", "_row", "size").join(per_row, ["source_no", "_bucket", "_rn"], "left")
-    out = out.join(sized(wanted.select("source_no", "source_size", "target"), n_sources), "source_no")
+    packed = _Packed(docs, id_col, text_col, source_col, weights, ratio, cap, block)
+    per_row = packed.contents(seed).groupBy("source_no", "_bucket", "_rn").agg(F.sum("words").alias("taken"))
+    out = packed.rows.select("source_no", "_bucket", "_rn", "_id", "_src", "_row", "size").join(per_row, ["source_no", "_bucket", "_rn"], "left")
+    out = out.join(sized(packed.wanted.select("source_no", "source_size", "target"), packed.n_sources), "source_no")
     out = out.select("_id", "_src", "_row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     if set(kept) <= {id_col, text_col, source_col} and not with_text:
         return out.select(F.col("_id").alias(id_col), F.col("_src").alias(source_col), *added)
-    # the other columns come back by a hash of the row; equal rows are told apart by number
+    # the other columns, packed so that their names can't clash, come back by a hash of the row; equal rows are told apart by number
     same = Window.partitionBy("_row").orderBy("_row")
     out = materialize(out.select("_row", *added), "mixed").withColumn("_n", F.row_number().over(same))
-    return docs.select(*kept, row_key.alias("_row")).withColumn("_n", F.row_number().over(same)).join(out, ["_row", "_n"]).select(*kept, *added)
+    whole = docs.select(F.struct(*kept).alias("_doc"), _row_key(id_col, text_col, source_col).alias("_row")).withColumn("_n", F.row_number().over(same))
+    return whole.join(out, ["_row", "_n"]).select("_doc.*", *added)
 
 
-def slots(wanted: DataFrame, block: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """Every slot of the mix: shard, source_no, block, and words (null where the slot takes the whole block)."""
-    spark = wanted.sparkSession
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, cap: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """(shard, slot, source, block, id, first, words): what every slot of every output shard holds, in runs of one row's words.
+
+    The words of each source, its rows in a hashed order, lie end to end in blocks of ``block`` words, the last
+    one shorter. Every slot of a shard draws its source by the targets, so a shard's counts of sources are
+    multinomial; what the draws of a source are over its target, all shards together, goes to those that are
+    short of theirs, so only totals are put right. A source's slots are numbered through all shards; a
+    permutation of the source's own maps their numbers to numbers of blocks, and slots join blocks by number. All
+    blocks of a source are taken before any comes again; its last slot takes only the words that the target
+    still needs. first counts from 0 in the row's own words. Rows that agree in id, source and text are numbered
+    in one window; any others, without an id or not, are dealt by hash.
+    """
+    packed = _Packed(docs, id_col, text_col, source_col, weights, ratio, cap, block)
+    held = packed.contents(seed).join(packed.rows.select("source_no", "_bucket", "_rn", F.col("_id").alias("id"), F.col("_src").alias("source")), ["source_no", "_bucket", "_rn"])
+    return held.select("shard", "slot", "source", "block", "id", "first", "words")
+
+
+def _row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(id_col, F.isnull(id_col), source_col, F.isnull(source_col), F.xxhash64(text_col, F.lit(7)))
+
+
+class _Packed:
+    """Rows with their place in their source's words, and what each source must give."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], ratio: float, cap: float, block: int):
+        self.block = block
+        words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+        key = F.xxhash64(id_col, F.xxhash64(text_col, F.lit(7)), F.lit(0))
+        narrow = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), words.alias("size"), key.alias("_key"), _row_key(id_col, text_col, source_col).alias("_row"))
+        rows = materialize(narrow, "sized")
+        sources = materialize(rows.groupBy(F.col("_src").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), "sources")
+        n_rows = sources.agg(F.sum("n_rows")).first()[0] or 0
+        self.n_sources = sources.count()
+        wanted = targets(sources.drop("n_rows"), weights, ratio, cap)
+        size, goal = F.col("source_size"), F.round("target").cast("long")
+        wanted = wanted.withColumns({"blocks": F.ceil(size / block), "passes": F.when(size > 0, F.floor(goal / size)).otherwise(0), "rest": F.when(size > 0, goal % size).otherwise(0)})
+        wanted = wanted.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
+        self.wanted = materialize(wanted, "targets")
+
+        # positions of rows in their source's words: sums inside hashed buckets, then sums of buckets
+        buckets = max(64, int(n_rows**0.5))
+        names = sized(self.wanted.select(F.col("source").alias("_name"), "source_no"), self.n_sources)
+        rows = rows.join(names, F.col("_src").eqNullSafe(F.col("_name"))).drop("_name").withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int"))
+        inside = Window.partitionBy("source_no", "_bucket").orderBy("_key", "_row")
+        rows = rows.withColumns({"_rn": F.row_number().over(inside), "_at": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
+        self.rows = materialize(rows, "packed")
+        ahead = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = self.rows.groupBy("source_no", "_bucket").agg(F.sum("size").alias("words")).withColumn("_from", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words")
+        self.starts = sized(materialize(starts, "starts"), self.n_sources * buckets)
+
+    def contents(self, seed: int) -> DataFrame:
+        """(shard, slot, source_no, block, _bucket, _rn, first, words): the runs of rows that slots take."""
+        block = self.block
+        spans = self.rows.select("source_no", "_bucket", "_rn", "size", "_at").where("size > 0").join(self.starts, ["source_no", "_bucket"])
+        spans = spans.select("source_no", "_bucket", "_rn", "size", (F.col("_from") + F.col("_at")).alias("at"))
+        spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
+        held = spans.join(slots(self.wanted, block, seed), ["source_no", "block"])
+        begin = F.greatest(F.col("at"), F.col("block") * block)
+        end = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.coalesce("part", F.lit(block)))
+        return held.withColumns({"words": end - begin, "first": begin - F.col("at")}).where("words > 0").select("shard", "slot", "source_no", "block", "_bucket", "_rn", "first", "words")
+
+
+def _owners(numbers: DataFrame, number: str, ranges: DataFrame, total: int, n_ranges: int) -> DataFrame:
+    """numbers joined with the one of ranges (lo, n, more columns) that holds each number below total, by runs of numbers."""
+    ranges = ranges.where("n > 0").withColumn("_run", F.explode(F.sequence(F.floor(F.col("lo") / RUN), F.floor((F.col("lo") + F.col("n") - 1) / RUN))))
+    found = numbers.withColumn("_run", F.floor(F.col(number) / RUN)).join(sized(ranges, n_ranges + total // RUN + 1), "_run")
+    return found.where((F.col(number) >= F.col("lo")) & (F.col(number) < F.col("lo") + F.col("n"))).drop("_run")
+
+
+def drawn(wanted: DataFrame, seed: int = 0) -> DataFrame:
+    """(shard, slot, source_no) of every slot: independent draws, each source as likely as it has slots among all."""
     total = wanted.agg(F.sum("slots")).first()[0] or 0
-    run = 4096  # tickets per chunk of the lookup below
-    draw = spark.range(total).select((F.col("id") / SHARD_SLOTS).cast("long").alias("shard"), permuted(F.col("id"), F.lit(max(1, total)), F.lit(seed)).alias("ticket"))
-    draw = draw.withColumn("chunk", F.floor(F.col("ticket") / run))
-    owners = wanted.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("lo") / run), F.floor((F.col("lo") + F.col("slots") - 1) / run))))
-    owners = owners.select("chunk", "source_no", "blocks", "passes", "rest", "lo", "slots")
-    owners = sized(owners, wanted.count() + total // run + 1)
-    won = draw.join(owners, "chunk").where((F.col("ticket") >= F.col("lo")) & (F.col("ticket") < F.col("lo") + F.col("slots")))
-    order = F.col("ticket") - F.col("lo")
-    turn = F.floor(order / F.col("blocks"))
-    number = F.pmod(order, F.col("blocks"))
-    whole = (turn < F.col("passes")) | (number < F.floor(F.col("rest") / block))
-    return won.select("shard", "source_no", permuted(number, F.col("blocks"), F.lit(seed + 1), F.col("source_no"), turn).alias("block"), F.when(~whole, F.col("rest") % block).alias("words"))
-
-
-def block_use(wanted: DataFrame, block: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """(source_no, block, times, part): how often the mix takes the whole block, and the words of a partial take."""
-    drawn = slots(wanted, block, seed)
-    return drawn.groupBy("source_no", "block").agg(F.sum(F.when(F.col("words").isNull(), 1).otherwise(0)).alias("times"), F.coalesce(F.max("words"), F.lit(0)).alias("part"))
+    per_shard = max(SHARD_SLOTS, -(-total // MOST_SHARDS))
+    draws = wanted.sparkSession.range(total).select(F.floor(F.col("id") / per_shard).alias("shard"), F.pmod("id", F.lit(per_shard)).alias("slot"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, total))).alias("ticket"))
+    lo = F.sum("slots").over(Window.orderBy("source_no")) - F.col("slots")
+    ranges = wanted.select("source_no", lo.alias("lo"), F.col("slots").alias("n"))
+    return _owners(draws, "ticket", ranges, total, wanted.count()).select("shard", "slot", "source_no")
+
+
+def slots(wanted: DataFrame, block: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """Every slot of the mix: shard, slot, source_no, block, and part, the words it takes of a block it doesn't take whole."""
+    draws = materialize(drawn(wanted, seed), "drawn")
+    n_sources = wanted.count()
+    counts = draws.groupBy("source_no", "shard").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0))), "shard_counts")
+    got = counts.groupBy("source_no").agg(F.sum("n").alias("got"))
+    plan = wanted.select("source_no", "blocks", "passes", "rest", "slots").join(sized(got, n_sources), "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    over, short = F.greatest(F.col("got") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("got"), F.lit(0))
+    by = Window.orderBy("source_no")
+    plan = materialize(plan.withColumns({"short": short, "over_lo": F.sum(over).over(by) - over, "short_lo": F.sum(short).over(by) - short}), "plan")
+
+    inside = Window.partitionBy("source_no", "shard").orderBy("slot")
+    numbered = draws.withColumn("_rn", F.row_number().over(inside)).join(sized(counts.select("source_no", "shard", "_from"), counts.count()), ["source_no", "shard"])
+    numbered = numbered.join(sized(plan.select("source_no", "slots", "got", "over_lo"), n_sources), "source_no")
+    number = F.col("_from") + F.col("_rn") - 1
+    # of a source drawn too often, its permuted numbers from its target on are given away
+    order = F.when(F.col("got") > F.col("slots"), permuted(number, F.col("got"), F.lit(seed + 2), F.col("source_no"))).otherwise(number)
+    numbered = materialize(numbered.select("shard", "slot", "source_no", "slots", "over_lo", order.alias("order")), "numbered")
+    given = numbered.where("order >= slots").select("shard", "slot", (F.col("over_lo") + F.col("order") - F.col("slots")).alias("given"))
+    total = plan.agg(F.sum("short")).first()[0] or 0
+    taken = _owners(given, "given", plan.select("source_no", "got", F.col("short_lo").alias("lo"), F.col("short").alias("n")), total, n_sources)
+    taken = taken.select("shard", "slot", "source_no", (F.col("got") + F.col("given") - F.col("lo")).alias("order"))
+    final = numbered.where("order < slots").select("shard", "slot", "source_no", "order").union(taken)
+    final = final.join(sized(plan.select("source_no", "blocks", "passes", "rest"), n_sources), "source_no")
+    turn, index = F.floor(F.col("order") / F.col("blocks")), F.pmod("order", F.col("blocks"))
+    whole = (turn < F.col("passes")) | (index < F.floor(F.col("rest") / block))
+    return final.select("shard", "slot", "source_no", permuted(index, F.col("blocks"), F.lit(seed + 1), F.col("source_no"), turn).alias("block"), F.when(~whole, F.col("rest") % block).alias("part"))
 
 
 def repeated(mixed: DataFrame, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
     """Rows of a mix as often as it takes them: once for each whole taking, and once more with a chance of the
-    remaining share of their words, by a hash of the id. Rows of no words are not in a mix."""
+    remaining share of their words, by a hash of the id. Rows of no words are not in a mix; rows without an id
+    or with one id share one hash; equal rows are each repeated by what is taken of them."""
     share = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
     chance = F.pmod(F.xxhash64(id_col, F.lit(seed + 11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     copies = F.floor(share) + (chance < share - F.floor(share)).cast("long")
-    return mixed.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)))).drop("_copy")
+    return mixed.select(F.struct(*mixed.columns).alias("_doc"), F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)))).select("_doc.*")

@@ -108,12 +108,58 @@ def test_mix_by_hand(spark):
             want[s] = 2.0 * size[s]
             rest -= want[s]
             free.discard(s)
-    by = {r.doc_id: s for r, s in ((r, dict((i, s) for i, _, s in rows)[r.doc_id]) for r in got)}
+    by = {i: s for i, _, s in rows}
     taken = {}
     for r in got:
         assert abs(r.target - want[by[r.doc_id]]) < 1e-6 and r.source_size == size[by[r.doc_id]] and r.taken <= 2 * r["size"]
         taken[by[r.doc_id]] = taken.get(by[r.doc_id], 0) + r.taken
     assert all(abs(taken[s] - want[s]) <= 17 for s in order)
+    # walk all slots: each holds one block of one source, in runs of rows that add up to what is taken
+    held, walked, pieces = {}, {}, {}
+    for r in mixing.mixture(df, block=16).collect():
+        held.setdefault((r.shard, r.slot), set()).add((r.source, r.block))
+        walked[r.id] = walked.get(r.id, 0) + r.words
+        pieces.setdefault((r.source, r.block), {}).setdefault((r.shard, r.slot), []).append((r.id, r["first"], r.words))
+    assert all(len(s) == 1 for s in held.values())
+    assert {r.doc_id: r.taken for r in got} == {i: walked.get(i, 0) for i, _, _ in rows}
+    for (s, _), turns in pieces.items():
+        assert len(turns) <= 2 and all(sum(w for _, _, w in runs) <= 16 for runs in turns.values())
+        assert all(a + w <= len(dict((i, t) for i, t, _ in rows)[i].split(" ")) for runs in turns.values() for i, a, w in runs)
+
+
+def test_draws_fill_shards(spark, monkeypatch):
+    """Counts of sources per shard are multinomial; another seed of the draw puts other blocks into a shard; totals are those asked for."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    rows = [(0, 300, 2, 0, 600), (1, 900, 1, 0, 900), (2, 3000, 0, 100 * 64, 500), (3, 700, 1, 0, 700)]
+    wanted = spark.createDataFrame([(n, b, p, r, s) for n, b, p, r, s in rows], "source_no int, blocks long, passes long, rest long, slots long")
+    wanted = wanted.withColumn("rest", F.when(F.col("source_no") == 2, F.lit(500 * 16).cast("long")).otherwise(F.col("rest")))
+    total = 2700
+    draws = mixing.drawn(wanted, 5).toPandas()
+    assert len(draws) == total and draws.groupby("shard").size().eq(100).all()
+    counts = draws.groupby(["shard", "source_no"]).size().unstack(fill_value=0)
+    p = np.array([600, 900, 500, 700]) / total
+    chi = ((counts.to_numpy() - 100 * p) ** 2 / (100 * p)).sum()
+    freedom = 27 * 3
+    assert abs(chi - freedom) < 4 * (2 * freedom) ** 0.5 and counts.to_numpy().std(axis=0).min() > 1
+    one, two = (mixing.slots(wanted, 16, seed).toPandas() for seed in (5, 6))
+    for got in (one, two):
+        assert got.groupby("source_no").size().tolist() == [600, 900, 500, 700] and not got.duplicated(["shard", "slot"]).any()
+        first = got[got.source_no == 0].groupby("block").size()
+        assert len(first) == 300 and (first == 2).all()
+    for k in (0, 5, 26):
+        assert set(map(tuple, one[one.shard == k][["source_no", "block"]].to_numpy())) != set(map(tuple, two[two.shard == k][["source_no", "block"]].to_numpy()))
+    # only what the totals need is moved
+    both = one.merge(draws, on=["shard", "slot"])
+    surplus = np.maximum(counts.sum().to_numpy() - np.array([600, 900, 500, 700]), 0).sum()
+    assert (both.source_no_x != both.source_no_y).sum() == surplus
+
+
+def test_mix_keeps_other_columns(spark):
+    rows = [(i if i % 3 else None, words(i, 9), "ab"[i % 2], f"r{i}", f"n{i}", f"c{i}", f"d{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row string, _n string, _copy string, _doc string")
+    got = mixing.mix(df)
+    assert {tuple(r) for r in got.select(df.columns).collect()} == set(rows)
+    assert {r._copy for r in mixing.repeated(got).collect()} <= {f"c{i}" for i in range(30)}
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
