@@ -168,20 +168,56 @@ def test_permutation(spark, n):
     assert sorted(got) == list(range(n))
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
 def test_licences(spark, odd, none):
-    notes = [(100, "Words here.\nReleased under the MIT License.\nMore"), (101, "LICENSED!! UNDER CC BY-NC 4.0."), (102, "The driver had a licence for years"), (103, None)]
-    docs = odd.select("doc_id", "text").union(spark.createDataFrame(notes, "doc_id long, text string"))
+    notes = {
+        100: ("Words here.\nReleased under the MIT License.\nMore", {(1, "MIT")}),
+        101: ("LICENSED!! UNDER CC BY-NC 4.0.", {(0, "CC-BY-NC")}),
+        102: ("The driver had a licence for years", set()),
+        103: (None, set()),
+        104: ("SPDX-License-Identifier: AGPL-3.0-only", {(0, "AGPL")}),
+        105: ("Distributed under the ISC license.", {(0, "ISC")}),
+        106: ("Licensed under the Eclipse Public License v2.0", {(0, "EPL")}),
+        107: ("Apache helicopters landed under the bridge", set()),
+        108: ("/* x.c */\n\n" + MIT, {(2, "MIT")}),
+        109: ("\n".join("# " + x for x in GPL.split("\n")), {(0, "GPL")}),
+        110: ("This work is licensed under the GNU Affero General Public License, version 3.", {(0, "AGPL")}),
+        111: ("Licensed under the Python Software Foundation License Version 2", set()),
+        112: ("SPDX-License-Identifier: OFL-1.1", set()),
+        113: ("of MIT and then it was under the terms of the bridge", set()),
+        114: ("SPDX-License-Identifier: GPL-3.0-or-later\r\nSPDX-License-Identifier: MIT", {(0, "GPL"), (1, "MIT")}),
+        115: ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {(0, "CC-BY-SA")}),
+    }
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(k, t) for k, (t, _) in notes.items()], "doc_id long, text string"))
     model = licences.fit(docs)
-    got = {(r.id, r.paragraph, r.family, r.confirmed) for r in licences.scan(docs, model).collect()}
-    assert got == {(100, 1, "MIT", True), (101, 0, "CC-BY-NC", True)}
+    assert licences.LEAST <= model.floor <= 0.95
+    found = licences.scan(docs, model).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.id, set()).add((r.paragraph, r.family))
+    assert got == {k: want for k, (_, want) in notes.items() if want}
+    assert sorted(map(tuple, licences.scan(docs, model, everywhere=True).collect())) == sorted(map(tuple, found))
     assert licences.scan(none, model).count() == 0
+    assert licences.scan(none, licences.fit(none)).count() == 0
     # the scores are those of the weights, worked out by hand
-    for r in licences.scan(docs, model).collect():
-        w = [x for x in "".join(c if c.isalnum() else " " for c in r.said.lower()).split()]
-        grams = set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+    for r in found:
+        w = licences.split_words(r.said)
+        grams = set(w) | set(licences.split_pairs(r.said))
         m = np.array(model.intercepts) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.classes)))
         p = np.exp((m - m.max()) / model.temperature)
         assert abs(p.max() / p.sum() - r.probability) < 1e-9 and model.classes[m.argmax()] == r.family
+        shares = [len(set(split) & set(licences.split_pairs(r.said))) / max(3, min(len(split), len(licences.split_pairs(r.said)))) for split in map(licences.split_pairs, licences.TEMPLATES[r.family])]
+        assert abs(max(shares) - r.similarity) < 1e-9
 
 
 def covered(texts):
