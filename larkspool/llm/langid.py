@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, LOWER, NO_LETTER, in_sample, sample_key, text_slices
+from .common import GOLDEN, LOWER, NO_LETTER, free_name, in_sample, materialize, sample_key, sized, text_slices
 
 DIMS_BITS = 12
 DIMS = 1 << DIMS_BITS
@@ -171,12 +171,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df = np.zeros(DIMS)
     df[list(found)] = list(found.values())
     idf = (np.log((1.0 + texts) / (1.0 + df)) + 1.0).astype(np.float32)
-    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    per_lang = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     key = sample_key("id", "text", F.lit(1)).alias("key")
-    sample = rows.select("lang", "text", key).join(F.broadcast(per_lang), "lang").where(in_sample(F.col("key"), F.col("n"), SAMPLE)).drop("n")
+    sample = rows.select("lang", "text", key).join(sized(per_lang, per_lang.count()), "lang").where(in_sample(F.col("key"), F.col("n"), SAMPLE)).drop("n")
     fitted = sample.groupBy("lang").applyInPandas(_cluster(idf), "lang string, centre binary, floor binary").collect()
-    if not fitted:  # a tiny table whose few rows all missed the share
-        fitted = rows.select("lang", "text", key).groupBy("lang").applyInPandas(_cluster(idf), "lang string, centre binary, floor binary").collect()
     fitted.sort(key=lambda r: (r[0], bytes(r[1])))
     languages = tuple(sorted({r[0] for r in fitted}))
     by_lang = {r[0]: np.frombuffer(r[2]) for r in fitted}
@@ -225,7 +223,7 @@ def identify(docs: DataFrame, model: CentroidModel | None, text_col: str = "text
         return docs.select(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), *kept).select(*kept, *added)
     shared = spark.sparkContext.broadcast(model)  # CENTROIDS * languages * DIMS floats
     text = F.col(text_col)
-    rows = docs.select(text.alias("_text"), has_letter(text).alias("_letter"), *[F.col(c) for c in kept])
+    rows = docs.select(text.alias(free_name("_text", kept)), has_letter(text).alias(free_name("_letter", kept)), *[F.col(c) for c in kept])
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "lang_pred string, score double, rejected boolean, " + ", ".join(f"`{c}` {types[c]}" for c in kept)
     return rows.mapInArrow(_predict(shared, len(kept)), schema).select(*kept, *added)
