@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_LETTER, in_sample, materialize, sample_key, text_slices, word_hashes
+from .common import NO_LETTER, free_name, in_sample, materialize, sample_key, sized, text_slices, word_hashes
 
 #: Labelled texts of each class that the model is fitted on, about.
 SAMPLE = 8000
@@ -26,31 +26,38 @@ class SegmentModel:
     words: np.ndarray  # sorted hashes of words that score above 0
     scores: np.ndarray
     other: float  # score of any other word, below 0
-    k: float  # extreme-value scale of the clean class; its decay is 1 for log-odds
+    k: float  # extreme-value law of the clean class: k * n * exp(-decay * score) segments of that score in n words
+    decay: float
     intercept: float
     slope: float
 
 
 def segments(at: np.ndarray, scores: np.ndarray, other: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (Ruzzo and Tompa 1999) of a text whose words score ``other`` < 0, but for
-    those at the given places: (first place, last place, score), one linear scan over those places."""
-    stack: list[list[float]] = []  # [first, last, sum before, sum after]
+    those at the given places: (first place, last place, score).
+
+    Each candidate links to the nearest one before it with a smaller sum before, so the search for a partner
+    passes over each candidate once and the scan is linear in those places.
+    """
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, link
     total, previous = 0.0, -1
     for p, s in zip(at.tolist(), scores.tolist(), strict=True):
         total += other * (p - previous - 1)
-        item = [p, p, total, total + s]
+        first, before = p, total
         total += s
         previous = p
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= item[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= item[3]:
-                stack.append(item)
+        j = len(stack) - 1
+        while j >= 0:
+            if stack[j][2] >= before:
+                j = stack[j][4]
+            elif stack[j][3] >= total:
                 break
-            item = [stack[j][0], item[1], stack[j][2], item[3]]
-            del stack[j:]
-    return [(int(a), int(b), hi - lo) for a, b, lo, hi in stack]
+            else:  # one segment from there on; its own link leads on
+                first, _, before, _, link = stack[j]
+                del stack[j:]
+                j = link
+        stack.append((first, p, before, total, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in stack]
 
 
 def _evidence(model: SegmentModel, data: np.ndarray, offsets: np.ndarray):
@@ -70,11 +77,11 @@ def _evidence(model: SegmentModel, data: np.ndarray, offsets: np.ndarray):
     for d in np.unique(own).tolist():
         mine = at[own == d] if len(at) < 64 else at[np.searchsorted(own, d) : np.searchsorted(own, d, "right")]
         base, n = first[d], first[d + 1] - first[d]
-        noise = np.log(model.k * n)  # a clean text of n words holds k * n * exp(-score) segments of that score
+        noise = np.log(model.k * n)
         for a, b, score in segments(mine - base, model.scores[place[mine]], model.other):
-            p = float(-np.expm1(-np.exp(min(50.0, noise - score))))
+            p = float(-np.expm1(-np.exp(min(50.0, noise - model.decay * score))))
             if p <= 0.05:
-                evidence[d] += score - max(0.0, noise)
+                evidence[d] += model.decay * score - max(0.0, noise)
                 spans[d].append((int(starts[base + a] - offsets[d]), int(ends[base + b] - offsets[d]), score, p))
     return evidence, spans
 
@@ -128,14 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     key = sample_key("id", F.lit(5))
     bound = F.when(F.col("y") == 1, F.lit(totals.get(1, 0))).otherwise(F.lit(totals.get(0, 0)))
-    chosen = known.where(in_sample(key, bound, SAMPLE))
+    chosen = materialize(known.where(in_sample(key, bound, SAMPLE)), "chosen")
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # the sample is bounded by 2 * SAMPLE ids, about
-    sample = text.join(F.broadcast(chosen), "id").groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
-    sample = sample.select("text", "y")
+    sample = text.join(sized(chosen, chosen.count()), "id").groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    sample = materialize(sample.select("text", "y"), "sample")
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     flat = float(np.log((share + 1e-6) / (1 - share + 1e-6))) if totals else -5.0
-    empty = SegmentModel(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1e-9, flat, 0.0)
+    empty = SegmentModel(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1e-9, 1.0, flat, 0.0)
     if not (totals.get(0) and totals.get(1)):
         return empty
     counts = sample.mapInArrow(_words, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -159,21 +165,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = np.argsort(words)
     scores = np.minimum(MOST, np.array([r[1] for r in picked]))[order]
     other = min(-1e-4, float(np.log((1 - min(0.99, sum(r[3] for r in picked))) / (1 - min(0.98, sum(r[4] for r in picked))))))
-    model = SegmentModel(words[order], scores, other, 1e-9, flat, 0.0)
-    # the clean class's largest segments give the scale: k * n * exp(-score) of them are expected in n words
-    known_texts = sample.withColumn("_n", F.length("text"))
-    seen = known_texts.select("text", "y", "_n").mapInArrow(_largest(model), "y int, n long, top double").collect()
-    clean = [(r[1], r[2]) for r in seen if r[0] == 0 and r[1]]
-    over = sum(t >= 1.0 for _, t in clean)
-    k = max(over, 1) * np.exp(1.0) / max(1.0, float(sum(n for n, _ in clean)))
-    model = SegmentModel(words[order], scores, other, float(k), flat, 0.0)
+    model = SegmentModel(words[order], scores, other, 1e-9, 1.0, flat, 0.0)
+    seen = sample.mapInArrow(_largest(model), "y int, n long, top double").where("y = 0 and n > 0").collect()
+    k, decay = _extremes(np.array([r[1] for r in seen], float), np.array([r[2] for r in seen], float))
+    model = SegmentModel(words[order], scores, other, k, decay, flat, 0.0)
     shared = spark.sparkContext.broadcast(model)
     fitted = sample.mapInArrow(_scored(shared, 1, False), "toxicity double, evidence double, y int").select("evidence", "y").collect()
     x = np.log1p(np.maximum(0.0, np.array([r[0] for r in fitted])))
     y = np.array([r[1] for r in fitted], float)
     weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
     a, b = _logistic(x, y, weight)
-    return SegmentModel(words[order], scores, other, float(k), a, max(0.0, b))
+    return SegmentModel(words[order], scores, other, k, decay, a, max(0.0, b))
+
+
+def _extremes(n: np.ndarray, top: np.ndarray) -> tuple[float, float]:
+    """Scale and decay of the law of clean texts' largest segments, from their words and largest scores.
+
+    Scores above a level fall off exponentially: their mean excess over it is 1 / decay. How many texts exceed
+    the level gives the scale. Log-odds decay by 1 in theory; too few large scores leave it at that.
+    """
+    level = 1.0
+    over = top[top >= level]
+    decay = float(np.clip(1 / max(1e-9, (over - level).mean()), 0.5, 2.0)) if len(over) >= 30 else 1.0
+    return max(len(over), 1) * float(np.exp(decay * level)) / max(1.0, float(n.sum())), decay
 
 
 def _largest(model: SegmentModel):
@@ -215,13 +229,12 @@ def score(docs: DataFrame, model: SegmentModel, text_col: str = "text", with_pas
     segment that a clean text of this length holds with a chance of at most 5 %.
 
     Words are runs of letters, ASCII ones in lower case. Evidence sums the significant segments' scores above the noise of
-    the text's length; a logistic curve turns it into the chance of label 1. Null and empty texts and texts
-    without words have no evidence. Columns of docs that bear one of the new names are replaced.
+    the text's length; a logistic curve turns it into the chance of label 1. Null and empty texts and texts without words have no evidence. Columns of docs that bear one of the new names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = ["toxicity", "evidence", *(["passages"] if with_passages else [])]
     kept = [c for c in docs.columns if c not in added]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "toxicity double, evidence double, " + ("passages array<struct<start:long,end:long,score:double,p:double>>, " if with_passages else "") + ", ".join(f"`{c}` {types[c]}" for c in kept)
-    rows = docs.select(F.col(text_col).alias("_text"), *kept)
+    rows = docs.select(F.col(text_col).alias(free_name("_text", kept)), *kept)
     return rows.mapInArrow(_scored(shared, len(kept), with_passages), schema).select(*kept, *added)
