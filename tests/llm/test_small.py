@@ -44,6 +44,27 @@ def test_language(spark, odd, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_language_by_hand(spark, small):
+    """Nearest centroid and cosine, recomputed text by text from the model's numbers."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.fit(docs)
+    for r in langid.identify(docs, model).limit(40).collect():
+        raw = " " + "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) if b >= 128 or chr(b).isalpha() else " " for b in (r.text or "").encode()) + " "
+        tri = {}
+        for i in range(len(raw) - 2):
+            g = raw[i : i + 3]
+            if g[1] != " " or (g[0] != " " and g[2] != " "):
+                slot = ((ord(g[0]) << 16 | ord(g[1]) << 8 | ord(g[2])) * int(common.GOLDEN) & (2**64 - 1)) >> (64 - langid.DIMS_BITS)
+                tri[slot] = tri.get(slot, 0) + 1
+        v = np.zeros(langid.DIMS)
+        for k, n in tri.items():
+            v[k] = (1 + np.log(n)) * model.idf[k]
+        v /= max(1e-12, np.linalg.norm(v))
+        cosine = model.centroids @ v
+        if r.lang_pred != "und":
+            assert model.languages[model.owner[cosine.argmax()]] == r.lang_pred and abs(min(1, max(0, cosine.max())) - r.score) < 1e-4
+
+
 def test_language_rejects_by_length(spark, small):
     """Foreign and random texts of ordinary length go, labelled texts and their first words stay."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
@@ -271,6 +292,40 @@ def test_toxicity(spark, odd, none):
     assert len(alike) == 1 and alike.pop() < 0.05
 
 
+def test_segments_take_linear_time():
+    import time
+
+    at, began = np.arange(0, 160_000 * 50, 50), time.process_time()
+    assert len(toxicity.segments(at, np.full(len(at), 2.0), -0.1)) == len(at)
+    assert time.process_time() - began < 5
+
+
+def test_toxicity_by_hand(spark):
+    """Evidence, passages and score of each text from the model's numbers, by a search over all stretches."""
+    rows = [(i, words(i, 30) + (" vile vile dreck " + words(i + 99, 5) if i % 2 else "") + (" vile" if i % 3 == 0 else ""), i % 2) for i in range(60)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumns({"toxicity": F.lit(1), "evidence": F.lit("x"), "passages": F.lit(None).cast("int"), "_text": F.lit(3)})
+    model = toxicity.fit(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    weight = dict(zip(model.words.tolist(), model.scores.tolist(), strict=True))
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    assert all(r._text == 3 for r in got.values())
+    for i, text, _ in rows:
+        h, _, _, _ = common.word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), apart=common.NO_LETTER)
+        x = [weight.get(int(v), model.other) for v in h.tolist()]
+
+        def best(lo, hi):
+            tops = [(sum(x[a : b + 1]), -a, -b) for a in range(lo, hi) for b in range(a, hi) if x[a] > 0 and x[b] > 0]
+            if not tops:
+                return []
+            s, a, b = max(tops)
+            return [*best(lo, -a), s, *best(1 - b, hi)]
+
+        noise = np.log(model.k * len(x))
+        strong = [s for s in best(0, len(x)) if -np.expm1(-np.exp(noise - model.decay * s)) <= 0.05]
+        evidence = sum(model.decay * s - max(0.0, noise) for s in strong)
+        assert abs(got[i].evidence - evidence) < 1e-6 and len(got[i].passages) == len(strong)
+        assert abs(got[i].toxicity - 1 / (1 + np.exp(-(model.intercept + model.slope * np.log1p(max(0.0, evidence)))))) < 1e-6
+
+
 def test_segments_are_those_of_the_definition():
     """Ruzzo and Tompa's segments, against a recursive search for the best subsequence."""
     rng = np.random.default_rng(3)
@@ -458,23 +513,66 @@ def test_reshard(spark, odd, none):
 
 
 def test_min_cost_flow_moves_least():
-    flow = reshard.min_cost_flow([50, 10, 0], [20, 20, 20])
-    assert [sum(r) for r in flow] == [50, 10, 0] and all(sum(r[j] for r in flow) == 20 for j in range(3))
-    assert sum(flow[i][i] for i in range(3)) == 30
+    """Against a general solver of the same network, by shortest augmenting paths."""
+
+    def cheapest(supply, capacity):
+        n, m = len(supply), len(capacity)
+        arcs = {(("s", 0), ("o", i)): [supply[i], 0] for i in range(n)} | {(("o", i), ("n", j)): [10**9, int(i != j)] for i in range(n) for j in range(m)} | {(("n", j), ("t", 0)): [capacity[j], 0] for j in range(m)}
+        arcs |= {(b, a): [0, -c] for (a, b), (_, c) in arcs.items()}
+        cost = 0
+        while True:
+            dist, came, changed = {("s", 0): 0}, {}, True
+            while changed:
+                changed = False
+                for (a, b), (room, c) in arcs.items():
+                    if room and a in dist and dist[a] + c < dist.get(b, 10**9):
+                        dist[b], came[b], changed = dist[a] + c, a, True
+            if ("t", 0) not in dist:
+                return cost
+            path, at = [], ("t", 0)
+            while at in came:
+                path.append((came[at], at))
+                at = came[at]
+            amount = min(arcs[e][0] for e in path)
+            for a, b in path:
+                arcs[a, b][0] -= amount
+                arcs[b, a][0] += amount
+            cost += amount * dist["t", 0]
+
     rng = np.random.default_rng(2)
-    for _ in range(20):
-        supply = rng.integers(0, 100, 5)
-        total = int(supply.sum())
-        cap = [total // 7 + (j < total % 7) for j in range(7)]
-        flow = reshard.min_cost_flow(supply.tolist(), cap)
-        assert sum(flow[i][i] for i in range(5)) == sum(min(int(s), c) for s, c in zip(supply, cap))
-
-
-def test_write_shards(spark, tmp_path):
-    df = spark.createDataFrame([(i, words(i, 20)) for i in range(100)], "doc_id long, text string")
-    placed = reshard.reshard(df, F.lit(0), 1, 3)
-    reshard.write_shards(placed, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 100
+    for n, m in ((3, 3), (5, 7), (7, 4), (1, 5), (4, 1)):
+        for _ in range(4):
+            supply = rng.integers(0, 100, n).tolist()
+            capacity = [sum(supply) // m + (j < sum(supply) % m) for j in range(m)]
+            flow = reshard.min_cost_flow(supply, capacity)
+            assert [sum(f.values()) for f in flow] == supply and all(sum(f.get(j, 0) for f in flow) == capacity[j] for j in range(m))
+            assert sum(x for i, f in enumerate(flow) for j, x in f.items() if i != j) == cheapest(supply, capacity)
+
+
+@pytest.mark.parametrize("n_old, n_new", [(4, 2), (2, 4), (3, 3)])
+def test_write_shards(spark, tmp_path, n_old, n_new):
+    """A rewrite over the old layout leaves each row once, in its new shard; untouched shards keep their files."""
+    df = spark.createDataFrame([(i, words(i, 20)) for i in range(200)], "doc_id long, text string")
+    old = F.pmod(F.xxhash64("text"), F.lit(n_old)).cast("int")
+    first = df.withColumns({"size": F.length("text").cast("long"), "slot": F.lit(0).cast("long"), "old_shard": old, "shard": old})
+    path = str(tmp_path / "s")
+    reshard.write_shards(first, path, existing=False)
+    placed = reshard.reshard(df, old, n_old, n_new)
+    reshard.write_shards(placed, path)
+    rows = placed.collect()
+    changed = {x for r in rows if r.old_shard != r["shard"] for x in (r.old_shard, r["shard"])}
+    want = sorted((r.doc_id, r["shard"], r.slot if r["shard"] in changed else 0) for r in rows)
+    got = spark.read.parquet(path).select("doc_id", "shard", "slot").collect()
+    assert sorted((r.doc_id, r["shard"], r.slot) for r in got) == want and changed
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "s").rglob("*.parquet")}
+    reshard.write_shards(placed.withColumn("old_shard", F.col("shard")), path)
+    assert files == {f: f.stat().st_mtime_ns for f in (tmp_path / "s").rglob("*.parquet")}
+
+
+def test_reshard_keeps_other_columns(spark):
+    rows = [(None if i % 2 else i, words(i % 7, 9), i, i * 2, i * 3, i * 5, i * 7, i * 11) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _salt long, _block long, _n long, _start long, _text_key long, _doc long")
+    assert sorted(map(tuple, reshard.reshard(df, F.lit(0), 1, 4).select(df.columns).collect()), key=str) == sorted(rows, key=str)
 
 
 def exact_groups(rows, k, percent):
