@@ -54,3 +54,33 @@ def test_empty_pipeline(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
         assert docs.count() == 0
+
+
+def test_stages_over_odd_rows(spark, small):
+    """Nulls, repeated and missing ids, and columns whose names operators use: rows keep all their columns."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    some = docs.limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in some] + [(some[0].doc_id, some[0].text, some[0].lang, some[0].source, some[0].n_chars)]
+    rows += [(None, some[1].text, None, None, None), (None, None, None, None, 0), (9001, "", "en", None, 0), (9002, None, None, "s", None), (9003, "1 2 3", None, "s", 5)]
+    extra = ("size", "target", "taken", "score", "rejected", "lang_pred", "id", "component_id", "_row", "_copy", "_text", "_all_")
+    full = [(*r, *[f"{c}{i}" for c in extra]) for i, r in enumerate(rows)]
+    odd = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    known = {r[5:]: r[:5] for r in full}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, small)
+        assert name == "shard" or got.columns == odd.columns
+        kept = got.select([c for c in odd.columns if c not in ("lang", "size")]).collect()
+        texts = {r.text for r in kept}
+        for r in kept:
+            # each row still holds the columns it came with
+            own = next(v for k, v in known.items() if k[1] == r.target)
+            assert (r.doc_id, r.text, r.source) == (own[0], own[1], own[3]) and r._row[4:] == r.target[6:] == r._copy[5:]
+        counts = len(kept)
+        if name == "language_id":
+            assert None not in texts and "1 2 3" not in texts and counts >= 55
+        elif name in ("near_dedup", "decontaminate"):
+            assert sum(r.doc_id is None for r in kept) == 2 and None in texts
+        elif name == "mix":
+            assert None not in texts and "" not in texts
+        else:
+            assert counts == len(rows)
