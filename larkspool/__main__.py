@@ -9,10 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .plans.options import VARIANTS, RunOptions, Variant
-from .plans.transcribe import transcribe
+from .plans.options import VARIANTS, RunOptions, Variant, model_complete, require_device
+from .plans.transcribe import transcribe_files
 from .sources.config import read_optional_text
-from .sources.sinks import write_documents
 
 
 def parser() -> argparse.ArgumentParser:
@@ -54,10 +53,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         spark = spark or SparkSession.builder.appName("larkspool").getOrCreate()
         options = RunOptions(**checks, hotwords=read_optional_text(spark, args.hotwords_file), initial_prompt=read_optional_text(spark, args.initial_prompt_file))
         module, _, name = args.recogniser.partition(":")
+        recogniser = importlib.import_module(module)
+        if hasattr(recogniser, "available_devices"):  # a recogniser that needs a device says which there are
+            require_device(args.device, recogniser.available_devices())
+        for v in variants:
+            if getattr(recogniser, "NEEDS_MODEL_FILES", False) and not model_complete(v.model_dir):
+                raise ValueError(f"the model in {v.model_dir} is not complete")
         folder = Path(args.input).is_dir() if local else False
-        docs = transcribe(spark, args.input, getattr(importlib.import_module(module), name), options, only_media=folder)
         out = args.output_dir or (args.input if folder else args.input.rpartition("/")[0] or ".")
-        write_documents(docs, str(Path(out).resolve()) if "://" not in out else out)
+        out = str(Path(out).resolve()) if "://" not in out else out
+        transcribe_files(spark, args.input, out, getattr(recogniser, name), options, only_media=folder)
         return 0
     except KeyboardInterrupt:
         return 130

@@ -11,9 +11,11 @@ LOUD = 1.05
 
 def normalise(samples: np.ndarray) -> np.ndarray:
     """float32 samples divided by their peak if it passes LOUD, then clipped to -1 .. 1. A NaN peak scales nothing."""
-    peak = float(np.max(np.abs(samples))) if samples.size else 0.0
-    scaled = samples / np.float32(peak) if peak > LOUD else samples
-    return np.ascontiguousarray(np.clip(scaled, -1.0, 1.0), dtype=np.float32)
+    out = np.array(samples, np.float32)  # a copy of its own, changed in place
+    loudest = np.abs(out).max(initial=0.0)
+    if loudest > LOUD:
+        out /= loudest
+    return out.clip(-1.0, 1.0, out=out)
 
 
 def normalised_array(samples: Column) -> Column:

@@ -9,17 +9,17 @@ from ..operators.recognise import Loader, recognise
 from ..operators.render import render
 from ..operators.segments import to_segments
 from ..sources.media import scan, window_samples
-from ..sources.sinks import result_names
+from ..sources.sinks import result_names, write_documents
 from ..shipping import ship
 from .options import RunOptions
 
 KEYS = ["recording_id", "stem", "variant", "suffix"]
 
 
-def segments_of(files: DataFrame, load: Loader, options: RunOptions) -> DataFrame:
+def segments_of(files: DataFrame, load: Loader, options: RunOptions, skip_unreadable: bool = False) -> DataFrame:
     """Segments of each file by each variant, and a row without text for each. Files are decoded once for all variants."""
     ship(files.sparkSession)
-    windows = window_samples(files, options.window_seconds, options.overlap_seconds)
+    windows = window_samples(files, options.window_seconds, options.overlap_seconds, skip_unreadable)
     return to_segments(recognise(windows, load, options.variants, options.generation()), with_silent=True)
 
 
@@ -28,6 +28,19 @@ def documents_of(segments: DataFrame, options: RunOptions) -> DataFrame:
     return result_names(render(segments, KEYS).withColumn("suffix", F.concat("suffix", F.lit(options.output_suffix))))
 
 
+def names_of(files: DataFrame, options: RunOptions) -> DataFrame:
+    """(name) of every document that files will give, without decoding any."""
+    suffixes = F.array(*[F.lit((v.suffix or "") + options.output_suffix) for v in options.variants])
+    return result_names(files.select("stem", F.explode(suffixes).alias("suffix"))).select("name")
+
+
 def transcribe(spark: SparkSession, path: str, load: Loader, options: RunOptions | None = None, only_media: bool = False) -> DataFrame:
     options = options or RunOptions()
     return documents_of(segments_of(scan(spark, path, only_media), load, options), options)
+
+
+def transcribe_files(spark: SparkSession, path: str, out: str, load: Loader, options: RunOptions | None = None, only_media: bool = False) -> None:
+    """The whole run with its files: names are checked first, then every window is recognised once by each variant."""
+    options = options or RunOptions()
+    files = scan(spark, path, only_media)
+    write_documents(documents_of(segments_of(files, load, options), options), out, names_of(files, options))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,22 +27,41 @@ class Samples:
     rate: int
 
 
+def _chunks(content: bytes) -> dict[bytes, bytes]:
+    """The first chunk of each name of a RIFF file; one that ends too early is what there is of it."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    found: dict[bytes, bytes] = {}
+    at = 12
+    while at + 8 <= len(content):
+        size = struct.unpack_from("<I", content, at + 4)[0]
+        found.setdefault(content[at : at + 4], content[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return found
+
+
 def decode_wav(content: bytes) -> Samples:
-    """PCM WAV of 8, 16, 24 or 32 bits: channels are averaged to one."""
-    with wave.open(io.BytesIO(content)) as f:
-        rate, channels, width = f.getframerate(), f.getnchannels(), f.getsampwidth()
-        raw = f.readframes(f.getnframes())
-    if width == 1:
+    """WAV of 8, 16, 24 or 32 bit integers or 32 or 64 bit floats, its header plain or extensible: channels are averaged to one."""
+    chunks = _chunks(content)
+    head, raw = chunks.get(b"fmt ", b""), chunks.get(b"data", b"")
+    if len(head) < 16:
+        raise ValueError("the WAV file has no format")
+    kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head)
+    if kind == 0xFFFE and len(head) >= 26:
+        kind = struct.unpack_from("<H", head, 24)[0]
+    width = bits // 8
+    if not channels or not rate or (kind, width) not in {(1, 1), (1, 2), (1, 3), (1, 4), (3, 4), (3, 8)}:
+        raise ValueError(f"WAV samples of kind {kind} and {bits} bits are not supported")
+    raw = raw[: len(raw) // (width * channels) * (width * channels)]
+    if kind == 3:
+        x = np.frombuffer(raw, f"<f{width}").astype(np.float32)
+    elif width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 2:
-        x = np.frombuffer(raw, "<i2").astype(np.float32) / 2**15
     elif width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         x = (((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000).astype(np.float32) / 2**23
-    elif width == 4:
-        x = (np.frombuffer(raw, "<i4").astype(np.float64) / 2**31).astype(np.float32)
     else:
-        raise ValueError(f"WAV samples of {8 * width} bits are not supported")
+        x = (np.frombuffer(raw, f"<i{width}").astype(np.float64) / 2 ** (bits - 1)).astype(np.float32)
     return Samples(x.reshape(-1, channels).mean(axis=1, dtype=np.float32), rate)
 
 
@@ -51,13 +69,28 @@ def decode_wav(content: bytes) -> Samples:
 DECODERS: dict[str, Callable[[bytes], Samples]] = {"wav": decode_wav}
 
 
+#: Zero crossings of the low-pass kernel to either side.
+CROSSINGS = 16
+
+
+def _low_pass(x: np.ndarray, share: float) -> np.ndarray:
+    """x without what lies above this share of its band: a Hann-windowed sinc kernel. NaN and infinite samples spread over its length."""
+    half = int(np.ceil(CROSSINGS / share))
+    at = np.arange(-half, half + 1)
+    kernel = np.sinc(at * share) * np.hanning(2 * half + 3)[1:-1]
+    return np.convolve(np.pad(x, half, mode="edge"), (kernel / kernel.sum()).astype(np.float32), mode="valid")
+
+
 def resample(samples: Samples, rate: int = SAMPLE_RATE) -> np.ndarray:
-    """Linear interpolation to another rate."""
-    if samples.rate == rate or not len(samples.values):
-        return samples.values.astype(np.float32)
-    n = max(1, round(len(samples.values) * rate / samples.rate))
+    """Linear interpolation to another rate, after a low-pass where the new rate can't hold the old band."""
+    x = samples.values.astype(np.float32)
+    if samples.rate == rate or not len(x):
+        return x
+    if rate < samples.rate:
+        x = _low_pass(x, 0.95 * rate / samples.rate)
+    n = max(1, round(len(x) * rate / samples.rate))
     at = np.arange(n) * (samples.rate / rate)
-    return np.interp(at, np.arange(len(samples.values)), samples.values).astype(np.float32)
+    return np.interp(at, np.arange(len(x)), x).astype(np.float32)
 
 
 def decode(content: bytes, suffix: str) -> np.ndarray:
@@ -70,12 +103,15 @@ def decode(content: bytes, suffix: str) -> np.ndarray:
     return normalise(x)
 
 
+#: Files of recordings by name.
+MEDIA_GLOB = f"*.{{{','.join([*MEDIA_TYPES, *[k.upper() for k in MEDIA_TYPES]])}}}"
+
+
 def scan(spark: SparkSession, path: str, only_media: bool = False) -> DataFrame:
     """(recording_id, path, stem, suffix, content) of each file; with only_media, of the file types of recordings."""
     reader = spark.read.format("binaryFile")
     if only_media:
-        kinds = ",".join([*MEDIA_TYPES, *[k.upper() for k in MEDIA_TYPES]])
-        reader = reader.option("pathGlobFilter", f"*.{{{kinds}}}").option("recursiveFileLookup", "true")
+        reader = reader.option("pathGlobFilter", MEDIA_GLOB).option("recursiveFileLookup", "true")
     return named(reader.load(path))
 
 
@@ -87,12 +123,29 @@ def named(files: DataFrame) -> DataFrame:
 WINDOW_SCHEMA = "recording_id string, stem string, duration double, cnt long, idx long, core_start double, core_end double, infer_start double, infer_end double, pcm binary"
 
 
-def window_samples(files: DataFrame, window: float, overlap: float) -> DataFrame:
+def unreadable(files: DataFrame) -> DataFrame:
+    """(recording_id, error) of the files that don't decode."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for r in batch.itertuples():
+                try:
+                    decode(r.content, r.suffix)
+                except Exception as e:  # noqa: BLE001  whatever a decoder says about a bad file
+                    errors.append((r.recording_id, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(errors, columns=["recording_id", "error"])
+
+    return files.mapInPandas(run, "recording_id string, error string")
+
+
+def window_samples(files: DataFrame, window: float, overlap: float, skip_unreadable: bool = False) -> DataFrame:
     """One row per window of each file with its float32 samples as bytes.
 
-    A file is decoded once, in one task; its samples leave it window by window and never as one row.
+    A file is decoded once, in one task; its samples leave it window by window and never as one row. A file that
+    doesn't decode is an error, or has no windows with skip_unreadable. Spark bounds the bytes of a batch of such
+    large rows by itself; the session is left as it is.
     """
-    spark = files.sparkSession
     window, overlap = float(window), float(overlap)
 
     def bounds(duration: float):
@@ -104,14 +157,15 @@ def window_samples(files: DataFrame, window: float, overlap: float) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                x = decode(r.content, r.suffix)
+                try:
+                    x = decode(r.content, r.suffix)
+                except Exception:
+                    if not skip_unreadable:
+                        raise
+                    continue
                 duration = len(x) / SAMPLE_RATE
                 for cnt, idx, core_start, core_end, start, end in bounds(duration):
                     pcm = x[int(np.rint(start * SAMPLE_RATE)) : int(np.rint(end * SAMPLE_RATE))].tobytes()
                     yield pd.DataFrame([(r.recording_id, r.stem, duration, cnt, idx, core_start, core_end, start, end, pcm)], columns=[c.split()[0] for c in WINDOW_SCHEMA.split(", ")])
 
-    # files and windows are large rows: few of them make a batch
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     return files.mapInPandas(run, WINDOW_SCHEMA)
-
-

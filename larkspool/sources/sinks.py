@@ -20,13 +20,16 @@ def check_names(documents: DataFrame) -> None:
         raise ValueError(f"{clash[0].n} results would be written as {clash[0].name}")
 
 
-def write_documents(documents: DataFrame, folder: str) -> None:
+def write_documents(documents: DataFrame, folder: str, names: DataFrame | None = None) -> None:
     """Write name.txt and name.srt for each row (name, txt, srt), in UTF-8 with a byte order mark.
 
+    names holds the names that documents will have, one row each, where they are known without computing the
+    documents: clashes are then found before any recording is recognised, and documents are computed once.
+
     Executors write to a mounted folder that they share; to another store, the driver writes one result at a
     time. Each file is written whole under a temporary name and then renamed, so repeated tasks and runs overwrite.
     """
-    check_names(documents)
+    check_names(documents if names is None else names)
     spark = documents.sparkSession
     rows = documents.select("name", F.explode(F.create_map(F.lit("txt"), F.col("txt"), F.lit("srt"), F.col("srt"))).alias("kind", "body"))
     if "://" in folder and not folder.startswith("file://"):

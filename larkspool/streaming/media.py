@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.recognise import Loader
 from ..plans.options import RunOptions
-from ..plans.transcribe import documents_of, segments_of
-from ..sources.media import named
+from ..plans.transcribe import documents_of, names_of, segments_of
+from ..sources.media import MEDIA_GLOB, named, unreadable
 from ..sources.sinks import write_documents
 
 
 def new_recordings(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder as they come."""
+    """Recordings of a folder as they come; files of other types are passed over."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return named(spark.readStream.format("binaryFile").schema(schema).load(folder))
+    return named(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", MEDIA_GLOB).load(folder))
 
 
-def transcribe_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, load: Loader, options: RunOptions | None = None):
-    """Write the transcripts of each new file. A repeated batch overwrites its own results."""
+def transcribe_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, load: Loader, options: RunOptions | None = None, errors: str | None = None):
+    """Write the transcripts of each new recording. A repeated batch overwrites its own results.
+
+    Recordings that don't decode are left out; with errors, a folder of JSON rows (recording_id, error), they are
+    noted there, one folder for each batch.
+    """
     options = options or RunOptions()
 
-    def batch(df: DataFrame, _: int) -> None:
-        write_documents(documents_of(segments_of(df, load, options), options), out)
+    def batch(df: DataFrame, number: int) -> None:
+        if errors:
+            unreadable(df).write.mode("overwrite").json(f"{errors}/batch={number}")
+        write_documents(documents_of(segments_of(df, load, options, skip_unreadable=True), options), out, names_of(df, options))
 
     return new_recordings(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

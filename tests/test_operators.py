@@ -2,6 +2,7 @@
 
 import io
 import math
+import struct
 import wave
 
 import numpy as np
@@ -16,9 +17,10 @@ from larkspool.operators.metrics import progress_bar, progress_line, progress_ra
 from larkspool.operators.recognise import Recognised, loudness_stub
 from larkspool.operators.render import render
 from larkspool.operators.segments import own_chunks, to_segments
-from larkspool.operators.windows import plan_windows
+from larkspool.operators.windows import plan_windows, sample_range
 from larkspool.plans.options import RunOptions, Variant, model_complete, require_device
-from larkspool.plans.transcribe import transcribe
+from larkspool.plans.transcribe import transcribe, transcribe_files
+from larkspool.sources import media
 from larkspool.sources.config import read_optional_text
 from larkspool.sources.media import decode, resample, scan
 from larkspool.sources.media import Samples
@@ -195,11 +197,74 @@ def test_run_and_stream(spark, tmp_path):
     assert (out / "talk.v1_A.txt").read_text("utf-8") == "﻿sound 2\nsound 3\n"
     assert (out / "quiet_B.srt").read_text("utf-8") == "﻿"
     assert "2\n00:01:59,000 --> 00:02:02,000" in (out / "talk.v1_B.srt").read_text("utf-8-sig")
-    (src / "notes.txt").unlink()
-    transcribe_stream(spark, str(src), str(tmp_path / "again"), str(tmp_path / "check"), loudness_stub).awaitTermination()
+    (src / "broken.wav").write_bytes(b"RIFF no")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    transcribe_stream(spark, str(src), str(tmp_path / "again"), str(tmp_path / "check"), loudness_stub, errors=str(tmp_path / "errors")).awaitTermination()
+    assert [r.recording_id.rpartition("/")[2] for r in spark.read.json(str(tmp_path / "errors")).collect()] == ["broken.wav"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     assert sorted(p.name for p in (tmp_path / "again").iterdir()) == ["quiet.srt", "quiet.txt", "talk.v1.srt", "talk.v1.txt"]
 
 
+def test_each_window_is_recognised_once(spark, tmp_path):
+    """A run of two variants over files of 1 and 2 windows calls the recogniser six times; clashing names call it never."""
+    src, calls = tmp_path / "in", tmp_path / "calls"
+    src.mkdir()
+    calls.mkdir()
+    (src / "a.wav").write_bytes(wav(np.zeros(16_000 * 130)))
+    (src / "b.wav").write_bytes(wav(np.zeros(16_000)))
+
+    def counting(variant, config, top=str(calls)):
+        import uuid
+
+        from larkspool.operators.recognise import Recognised
+
+        def run(samples, config):
+            open(f"{top}/{uuid.uuid4().hex}", "w").close()
+            return Recognised([], ["x"], "")
+
+        return run
+
+    options = RunOptions(variants=(Variant("A", suffix="_A"), Variant("B", suffix="_B")))
+    transcribe_files(spark, str(src), str(tmp_path / "out"), counting, options)
+    assert len(list(calls.iterdir())) == 6 and len(list((tmp_path / "out").iterdir())) == 8
+    with pytest.raises(ValueError, match="2 results"):
+        transcribe_files(spark, str(src), str(tmp_path / "out"), counting, RunOptions(variants=(Variant("A"), Variant("B"))))
+    assert len(list(calls.iterdir())) == 6
+
+
+def test_run_and_plan_cut_alike(spark, tmp_path):
+    """The windows of a run are those of plan_windows, samples included."""
+    for i, n in enumerate((0.3, 119.99, 120.0, 120.01, 240.0, 367.25)):
+        (tmp_path / f"{i}.wav").write_bytes(wav(np.zeros(int(16_000 * n))))
+    rows = media.window_samples(scan(spark, str(tmp_path)), 120.0, 4.0).select("recording_id", "duration", "cnt", "idx", "core_start", "core_end", "infer_start", "infer_end", (F.length("pcm") / 4).cast("long").alias("samples")).collect()
+    durations = spark.createDataFrame(sorted({(r.recording_id, r.duration) for r in rows}), "recording_id string, duration double")
+    plan = sample_range(plan_windows(durations)).select("recording_id", "duration", "cnt", "idx", "core_start", "core_end", "infer_start", "infer_end", (F.col("sample_end") - F.col("sample_start")).alias("samples")).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, plan))
+
+
+def test_float_and_extensible_wav():
+    x = np.array([0.5, -2.0, 1.0, 0.25], np.float32)
+
+    def riff(kind, bits, body, more=b""):
+        fmt = struct.pack("<HHIIHH", kind, 1, 16_000, 16_000 * bits // 8, bits // 8, bits) + more
+        return b"RIFF" + struct.pack("<I", 0) + b"WAVE" + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(body)) + body
+
+    extended = struct.pack("<HHI", 22, 32, 0) + struct.pack("<H", 3) + bytes(14)
+    for content in (riff(3, 32, x.tobytes()), riff(3, 64, x.astype("<f8").tobytes()), riff(0xFFFE, 32, x.tobytes(), extended)):
+        assert np.array_equal(media.decode_wav(content).values, x)
+        assert np.allclose(media.decode(content, "wav"), x / 2)  # a peak of 2 is scaled down
+    for bad in (b"", b"RIFF no", riff(7, 8, b"x"), riff(3, 16, b"xx")):
+        with pytest.raises(ValueError):
+            media.decode(bad, "wav")
+
+
+def test_resampling_down_does_not_alias():
+    """A tone above the new band is gone, one inside it stays."""
+    t = np.arange(48_000) / 48_000
+    high, low = (media.resample(media.Samples(np.sin(2 * np.pi * f * t).astype(np.float32), 48_000)) for f in (11_000, 1_000))
+    assert len(high) == 16_000 and np.abs(high[200:-200]).max() < 0.02 and abs(np.abs(low[200:-200]).max() - 1) < 0.02
+
+
 def test_clashing_names_are_refused(spark, tmp_path):
     df = spark.createDataFrame([("a", "x", "y"), ("a", "x", "z")], "name string, txt string, srt string")
     with pytest.raises(ValueError, match="2 results"):
