@@ -26,27 +26,37 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(sized(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """docs as the named columns and all of its columns in one, so that an operator's new columns clash with none."""
+    return docs.select(*names, F.struct(*docs.columns).alias("_all"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text is in no known language; fills in missing languages.
 
     Learnt from the rows that bear a language. Texts that are null or without a letter go; rows of a table
-    without any language all go, as nothing can be recognised.
+    without any language all go, as nothing can be recognised. Rows without an id and repeated rows are judged
+    one by one.
     """
-    found = langid.identify(docs, langid.fit(docs)).where(~F.col("rejected"))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(_packed(docs, "text"), langid.fit(docs), "text").where(~F.col("rejected"))
+    return found.select(*[F.coalesce("_all.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"_all.{c}") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates: five-word shingles, similarity 0.8 or more, smallest id.
 
-    Rows of one id are one document; rows without an id stay.
+    Rows of one id are one document; rows without an id, and texts without words, stay.
     """
     found = near_duplicates(docs, shingle=5, percent=80)
     return _without(docs, found.where("id <> component_id").select(F.col("id").alias("doc_id")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows whose text holds a passage of the benchmark."""
+    """Drops rows whose text holds a passage of the benchmark.
+
+    Rows of one id are one document and go together; rows without an id and null texts stay; an empty benchmark
+    drops nothing.
+    """
     found = leaks(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.select(F.col("id").alias("doc_id")))
 
@@ -54,13 +64,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix of sources takes them, weights 3, 1, 2 in turn and half as many words again in all.
 
-    Rows without words are in no mix.
+    Rows without words are in no mix; rows without a source are a source; rows without an id and repeated rows
+    each count by themselves.
     """
-    return repeated(mix(docs.select("doc_id", "text", "source", *[c for c in docs.columns if c not in ("doc_id", "text", "source")]))).select(*docs.columns)
+    return repeated(mix(_packed(docs, "doc_id", "text", "source"))).select("_all.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with their new shard of near-equal bytes, their slot in it and their shard before."""
+    """Rows with their new shard of near-equal bytes, their slot in it and their shard before.
+
+    Null texts count as texts of no bytes; rows without an id and repeated rows each get a slot; columns size,
+    shard, slot and old_shard of docs are replaced.
+    """
     old = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(OLD_SHARDS))
     return reshard(docs, old, OLD_SHARDS, NEW_SHARDS)
 
