@@ -185,7 +185,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return CentroidModel(languages, np.array([languages.index(r[0]) for r in fitted]), np.stack([np.frombuffer(r[1], np.float32) for r in fitted]), floor, idf)
 
 
-def _predict(shared, n_keep: int):
+def _predict(shared, names: list[str]):
+    """names: of the output's columns after the three new ones; the first batch column is the text, the second tells of letters."""
+
     def run(batches):
         m: CentroidModel = shared.value
         starts = np.array([np.flatnonzero(m.owner == k)[0] for k in range(len(m.languages))])
@@ -199,10 +201,10 @@ def _predict(shared, n_keep: int):
                 best = by_lang.argmax(axis=1)
                 score = np.clip(by_lang.max(axis=1), 0.0, 1.0).astype(np.float64)
                 usable = letters[a:b]
-                names = pa.array([m.languages[k] if ok else "und" for k, ok in zip(best, usable, strict=True)], pa.string())
+                found = pa.array([m.languages[k] if ok else "und" for k, ok in zip(best, usable, strict=True)], pa.string())
                 rejected = ~usable | (cosine.max(axis=1) < m.floor[best, _bands(counts)] - 1e-5)
-                rest = [batch.column(2 + i).slice(a, b - a) for i in range(n_keep)]
-                yield pa.RecordBatch.from_arrays([names, pa.array(np.where(usable, score, 0.0)), pa.array(rejected), *rest], names=["lang_pred", "score", "rejected", *batch.schema.names[2:]])
+                rest = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns) if i != 1]
+                yield pa.RecordBatch.from_arrays([found, pa.array(np.where(usable, score, 0.0)), pa.array(rejected), *rest], names=["lang_pred", "score", "rejected", *names])
 
     return run
 
@@ -222,11 +224,15 @@ def identify(docs: DataFrame, model: CentroidModel | None, text_col: str = "text
     if model is None:
         return docs.select(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), *kept).select(*kept, *added)
     shared = spark.sparkContext.broadcast(model)  # CENTROIDS * languages * DIMS floats
+    # the text goes over once, first; all other columns follow it
+    rest = [text_col, *[c for c in kept if c != text_col]]
+    if text_col in added:  # a text of one of these names is replaced too
+        rest = [free_name("_text", kept), *kept]
     text = F.col(text_col)
-    rows = docs.select(text.alias(free_name("_text", kept)), has_letter(text).alias(free_name("_letter", kept)), *[F.col(c) for c in kept])
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = "lang_pred string, score double, rejected boolean, " + ", ".join(f"`{c}` {types[c]}" for c in kept)
-    return rows.mapInArrow(_predict(shared, len(kept)), schema).select(*kept, *added)
+    rows = docs.select(text.alias(rest[0]), has_letter(text).alias(free_name("_letter", rest)), *[F.col(f"`{c}`") for c in rest[1:]])
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = "lang_pred string, score double, rejected boolean, " + ", ".join(f"`{c}` {types[c]}" for c in rest)
+    return rows.mapInArrow(_predict(shared, rest), schema).select(*kept, *added)
 
 
 def fold(id_col: str, folds: int) -> Column:
