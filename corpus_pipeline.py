@@ -6,11 +6,11 @@ documents, but for the last, which adds the place of each row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspool.llm import langid
-from larkspool.llm.common import materialize, sized, table
+from larkspool.llm.common import free_name, materialize, sized, table
 from larkspool.llm.decontaminate import leaks
 from larkspool.llm.mixing import mix, repeated
 from larkspool.llm.neardup import near_duplicates
@@ -27,8 +27,12 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame, *names: str) -> DataFrame:
-    """docs as the named columns and all of its columns in one, so that an operator's new columns clash with none."""
-    return docs.select(*names, F.struct(*docs.columns).alias("_all"))
+    """docs as the named columns and all others in one, so that an operator's new columns clash with none."""
+    return docs.select(*names, F.struct(F.lit(0).alias(free_name("_", docs.columns)), *[c for c in docs.columns if c not in names]).alias("_all"))
+
+
+def _unpacked(columns: list[str], *names: str) -> list[Column]:
+    return [F.col(c if c in names else f"_all.{c}").alias(c) for c in columns]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +42,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     without any language all go, as nothing can be recognised. Rows without an id and repeated rows are judged
     one by one.
     """
-    found = langid.identify(_packed(docs, "text"), langid.fit(docs), "text").where(~F.col("rejected"))
-    return found.select(*[F.coalesce("_all.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"_all.{c}") for c in docs.columns])
+    found = langid.identify(_packed(docs, "text", "lang"), langid.fit(docs), "text").where(~F.col("rejected"))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*_unpacked(docs.columns, "text", "lang"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words are in no mix; rows without a source are a source; rows without an id and repeated rows
     each count by themselves.
     """
-    return repeated(mix(_packed(docs, "doc_id", "text", "source"))).select("_all.*")
+    return repeated(mix(_packed(docs, "doc_id", "text", "source"))).select(*_unpacked(docs.columns, "doc_id", "text", "source"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
