@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, collapsed, text_slices
+from .common import GOLDEN, collapsed, materialize, text_slices
 
 Q = 8
 #: Benchmark items are searched in pieces of this many collapsed bytes, each half over the one before.
@@ -18,23 +20,26 @@ SHORT, SHORT_STEP = 56, 17
 EXCERPT = SHORT + SHORT_STEP - 1
 #: Edits allowed for each byte of a piece.
 BUDGET = 0.08
-#: Bytes of benchmark text that one pass holds in memory on each executor; more text takes more passes.
-PASS_BYTES = 4 << 20
-_BITS = 22
+#: Bytes of benchmark text that one pass holds in memory on the driver; each task makes its index of them, some 70
+#: bytes for each. More text takes more passes over the documents, one after another.
+PASS_BYTES = 2 << 20
+
+
+def _plain(text: str) -> bytes:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return collapsed(raw, np.array([0, len(raw)]))[0].tobytes().strip()
 
 
 class PieceIndex:
-    """All q-grams of the pieces of some benchmark items, sorted, with piece and place."""
+    """All q-grams of the pieces of some collapsed benchmark items, sorted, with piece and place."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int = PIECE, step: int = PIECE // 2, least: int = Q):
+    def __init__(self, items: list[tuple[int, bytes]], size: int, step: int, least: int):
         self.item: list[int] = []
         self.piece: list[np.ndarray] = []
-        for key, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            norm, _, _ = collapsed(raw, np.array([0, len(raw)]))
-            norm = np.frombuffer(norm.tobytes().strip(), np.uint8)
-            if len(norm) < least:
+        for key, plain in items:
+            if len(plain) < least:
                 continue
+            norm = np.frombuffer(plain, np.uint8)
             last = max(0, len(norm) - size)
             for start in sorted({*range(0, last, step), last}):
                 self.item.append(key)
@@ -44,18 +49,37 @@ class PieceIndex:
         self.need = np.maximum(1, self.length - Q + 1 - Q * self.edits)
         grams = [_grams(p) for p in self.piece]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int16) for g in grams]) if grams else np.zeros(0, np.int16)
         order = np.argsort(flat, kind="stable")
         self.gram, self.owner, self.place = flat[order], owner[order], place[order]
-        self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[_slot(self.gram)] = True
 
 
-def _indexes(items: list[tuple[int, str]]) -> list[PieceIndex]:
-    """Long pieces, then short ones of the items that are longer than one of them."""
-    both = [PieceIndex(items), PieceIndex(items, SHORT, SHORT_STEP, SHORT + 1)]
-    return [x for x in both if x.piece]
+class PassIndex:
+    """What the texts are searched for in one pass: long pieces, short ones of items that are longer than one of
+    them, and, under their collapsed text, the items that are too short for a q-gram."""
+
+    def __init__(self, items: tuple[tuple[int, str], ...]):
+        plain = [(key, _plain(text)) for key, text in items]
+        both = [PieceIndex(plain, PIECE, PIECE // 2, Q), PieceIndex(plain, SHORT, SHORT_STEP, SHORT + 1)]
+        self.pieces = [x for x in both if x.piece]
+        self.whole: dict[bytes, list[int]] = {}
+        for key, norm in plain:
+            if 0 < len(norm) < Q:
+                self.whole.setdefault(norm, []).append(key)
+        # some sixteen slots for each q-gram, so that most of a text's q-grams end here
+        self.bits = min(26, max(22, (16 * sum(len(x.gram) for x in self.pieces)).bit_length()))
+        self.seen = []
+        for x in self.pieces:
+            seen = np.zeros(1 << self.bits, bool)
+            seen[_slot(x.gram, self.bits)] = True
+            self.seen.append(seen)
+
+
+@lru_cache(maxsize=1)
+def _pass_index(items: tuple[tuple[int, str], ...]) -> PassIndex:
+    """Made once by each Python worker, from the items that its tasks were sent."""
+    return PassIndex(items)
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -66,8 +90,8 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return ((grams * GOLDEN) >> np.uint64(64 - _BITS)).astype(np.int64)
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    return ((grams * GOLDEN) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def banded_edits(piece: np.ndarray, text: np.ndarray, first: int, width: int, most: int) -> tuple[int, int]:
@@ -94,13 +118,12 @@ def banded_edits(piece: np.ndarray, text: np.ndarray, first: int, width: int, mo
     return int(row[at]), at + first + len(piece)
 
 
-def _search(indexes: list[PieceIndex]):
-    def in_run(index: PieceIndex, norm: np.ndarray, offsets: np.ndarray, grams: np.ndarray, slots: np.ndarray):
+def _search(items: tuple[tuple[int, str], ...]):
+    def in_run(index: PieceIndex, norm: np.ndarray, offsets: np.ndarray, grams: np.ndarray, hit: np.ndarray):
         """(text, piece, start, end, edits) of each piece found, in collapsed positions inside the text."""
         longest = int(index.length.max())
         slack = int(index.edits.max())
         step = max(1, slack)
-        hit = index.seen[slots]
         # bands can only fill where enough q-grams of any piece stand within one piece's reach
         sums = np.zeros(len(grams) + 1, np.int64)
         np.cumsum(hit, out=sums[1:])
@@ -156,21 +179,37 @@ def _search(indexes: list[PieceIndex]):
                 found[d, p] = (max(0, end - int(index.length[p]) - edits), end, edits)
         return found
 
+    def short_texts(whole: dict[bytes, list[int]], norm: np.ndarray, offsets: np.ndarray):
+        """(text, item, start, end) of texts that hold nothing but an item without a q-gram."""
+        for d in np.flatnonzero(np.diff(offsets) <= Q + 1).tolist() if whole else ():
+            text = norm[offsets[d] : offsets[d + 1]].tobytes()
+            plain = text.strip()
+            start = len(text) - len(text.lstrip())
+            for item in whole.get(plain, ()):
+                yield d, item, start, start + len(plain)
+
     def run(batches):
+        index = _pass_index(items)
         for batch in batches:
             rows: list[tuple] = []
             ids = batch.column(0)
             for a, _, data, offsets in text_slices(batch.column(1), max_rows=4096):
                 norm, noffs, at = collapsed(data, offsets)
                 grams = _grams(norm)
-                slots = _slot(grams)
+                slots = _slot(grams, index.bits)
+
+                def add(d: int, item: int, piece: int, start: int, end: int, edits: int):
+                    base = noffs[d]
+                    raw = (int(at[base + start] - offsets[d]), int(at[base + end - 1] - offsets[d]) + 1)
+                    rows.append((ids[a + d].as_py(), item, piece, *raw, edits))
+
                 number = 0
-                for index in indexes:
-                    for (d, p), (start, end, edits) in in_run(index, norm, noffs, grams, slots).items():
-                        base = noffs[d]
-                        raw = (int(at[base + start] - offsets[d]), int(at[base + end - 1] - offsets[d]) + 1)
-                        rows.append((ids[a + d].as_py(), index.item[p], number + p, *raw, edits))
-                    number += len(index.piece)
+                for pieces, seen in zip(index.pieces, index.seen, strict=True):
+                    for (d, p), (start, end, edits) in in_run(pieces, norm, noffs, grams, seen[slots]).items():
+                        add(d, pieces.item[p], number + p, start, end, edits)
+                    number += len(pieces.piece)
+                for d, item, start, end in short_texts(index.whole, norm, noffs):
+                    add(d, item, number, start, end, 0)
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "item_id", "piece", "start", "end", "edits"])
 
@@ -188,31 +227,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     banded alignment, and the best place of each piece and text is reported in bytes of the text. start is at
     most the number of edits too far left.
 
-    Null and empty texts hold nothing; items of fewer than Q bytes have no q-gram and are never found; null ids
-    or item ids are left out; an empty table on either side gives no rows. The benchmark goes to the executors
-    in passes of at most PASS_BYTES bytes, whatever its size.
+    Null and empty texts hold nothing; items of fewer than Q collapsed bytes have no q-gram and are found where
+    they are the whole text; items without a letter or digit are not searched; null ids or item ids are left out;
+    repeated rows give repeated rows; an empty table on either side gives no rows. The driver holds one pass of the
+    benchmark at a time, PASS_BYTES bytes or one longer item; where there are several, each pass's rows are
+    written before the next is read. Pieces are numbered within a pass. Time and memory of a task grow in proportion to its longest text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null")
     schema = "id long, item_id long, piece long, start long, end long, edits long"
-    out, held, size = None, [], 0
-
-    def search(part):
-        indexes = _indexes(part)
-        return rows.mapInArrow(_search(indexes), schema) if indexes else None
-
-    parts = []
-    for r in items.orderBy("k").toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= PASS_BYTES:
-            parts.append(search(held))
+    out: list[DataFrame] = []
+    held: list[tuple[int, str]] = []
+    size = 0
+    for key, text in items.orderBy("k").toLocalIterator():
+        n = len(text.encode())
+        if held and size + n > PASS_BYTES:
+            out.append(materialize(rows.mapInArrow(_search(tuple(held)), schema), "leaks"))
             held, size = [], 0
-    parts.append(search(held) if held else None)
-    for part in parts:
-        if part is not None:
-            out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        held.append((key, text))
+        size += n
+    if held:
+        out.append(rows.mapInArrow(_search(tuple(held)), schema))
+    return reduce(DataFrame.union, out) if out else docs.sparkSession.createDataFrame([], schema)
 
 
 def contaminated(found: DataFrame) -> DataFrame:

@@ -477,6 +477,51 @@ def test_leaks_excerpts(spark):
     assert sorted((r.id, r.item_id) for r in found) == [(i, 9) for i in range(n)]
 
 
+def least_edits(piece: bytes, text: bytes) -> int:
+    """Fewest edits that turn piece into some stretch of text, by the whole table."""
+    t, j = np.frombuffer(text, np.uint8), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for c in piece:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (t != c))
+        row = np.minimum.accumulate(new - j) + j
+    return int(row.min())
+
+
+def test_leaks_equal_all_pairs(spark, monkeypatch):
+    """Every piece of every item against every text, by whole edit tables; in one pass and in several."""
+    rng = np.random.default_rng(12)
+    bench = [(i, words(600 + i, n)) for i, n in enumerate((45, 30, 14, 12, 9))] + [(50, "Yes!"), (51, "no way"), (52, "?!")]
+    docs = [(0, "yes"), (1, " YES. "), (2, "yes yes"), (3, "no-way"), (4, "oh no way at all"), (5, "?!"), (6, None), (7, "")]
+    for k in range(60):
+        text = list(bench[k % 5][1])
+        a = int(rng.integers(0, 1 + len(text) // 2))
+        text = text[a : a + int(rng.integers(50, 260))]
+        for _ in range(int(rng.integers(0, 12))):
+            x = int(rng.integers(0, len(text)))
+            text[x : x + int(rng.integers(0, 2))] = ["", "q", "z", "mm"][int(rng.integers(0, 4))]
+        docs.append((100 + k, words(7000 + k, 8) + " " + "".join(text) + " " + words(8000 + k, 8)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(bench, "item_id long, text string")
+    index = decontaminate.PassIndex(tuple(bench))
+    want, number = set(), 0
+    for x in index.pieces:
+        for p, piece in enumerate(x.piece):
+            for d, text in docs:
+                edits = least_edits(piece.tobytes(), decontaminate._plain(text or ""))
+                if edits <= len(piece) * decontaminate.BUDGET:
+                    want.add((d, x.item[p], number + p, edits))
+        number += len(x.piece)
+    assert {e for *_, e in want} >= {0, 1, 2, 3, 4, 5}
+    want |= {(d, item, number, 0) for d, item in ((0, 50), (1, 50), (3, 51))}
+    found = decontaminate.leaks(df, benchmark).collect()
+    assert sorted((r.id, r.item_id, r.piece, r.edits) for r in found) == sorted(want)
+    assert next((r.start, r.end) for r in found if r.id == 1) == (1, 4)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 150)
+    several = decontaminate.contaminated(decontaminate.leaks(df, benchmark)).collect()
+    assert {(r.id, r.item_id, r.edits) for r in several} == {(d, i, min(e for a, b, _, e in want if (a, b) == (d, i))) for d, i, _, _ in want}
+
+
 def test_banded_edits():
     def plain(p, t):
         row = [0] * (len(t) + 1)
