@@ -17,6 +17,19 @@ FOCUS = 3
 _PAIR_SALTS = 16
 
 
+def _packed(vecs: np.ndarray) -> bytes:
+    """Whole vectors as bytes, in the narrowest of 16, 32 and 64 bits a component that holds them all."""
+    for kind in (np.int16, np.int32):
+        if not vecs.size or np.iinfo(kind).min <= vecs.min() and vecs.max() <= np.iinfo(kind).max:
+            return vecs.astype(kind).tobytes()
+    return vecs.tobytes()
+
+
+def _vectors(data: bytes, rows: int, dim: int) -> np.ndarray:
+    width = len(data) // max(1, rows * dim)
+    return np.frombuffer(data, {2: np.int16, 4: np.int32}.get(width, np.int64)).astype(np.int64).reshape(rows, dim)
+
+
 def _cut(rows_per_block: int):
     """Blocks of rows that come in order of falling norm, one row each: ids and whole vectors as bytes."""
 
@@ -25,7 +38,7 @@ def _cut(rows_per_block: int):
 
         def block(ids, vecs):
             norms = np.sqrt((vecs.astype(np.float64) ** 2).sum(axis=1))
-            return [int(vecs.shape[1]), float(norms.max()), len(ids), ids.tobytes(), vecs.tobytes()]
+            return [int(vecs.shape[1]), float(norms.max()), len(ids), ids.tobytes(), _packed(vecs)]
 
         def flush(rest: bool):
             out = []
@@ -144,7 +157,7 @@ def _pairs(k: int, seeds: bool):
             for row in range(batch.num_rows):
                 r = {n: batch.column(j)[row].as_py() for j, n in enumerate(batch.schema.names)}
                 q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = np.frombuffer(r["q_vecs"], np.int64).reshape(len(q_ids), -1), np.frombuffer(r["vecs"], np.int64).reshape(len(c_ids), -1)
+                q, c = _vectors(r["q_vecs"], len(q_ids), r["dim"]), _vectors(r["vecs"], len(c_ids), r["dim"])
                 floor = np.full(len(q_ids), LOWEST, np.int64) if seeds else np.frombuffer(r["floor"], np.int64)
                 found = search_block(q_ids, q, floor, c_ids, c, k)
                 queries = np.concatenate([np.full(len(x), q_ids[i]) for i, x, _ in found]) if found else np.zeros(0, np.int64)
@@ -202,14 +215,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     # one row for each length of vector: the block of the longest
     first = materialize(candidates.groupBy("dim").agg(F.max_by("block", F.struct("top", -F.col("block"))).alias("block")), "first")
     longest = candidates.join(first.select("block"), "block", "left_semi").select("dim", "ids", "vecs")
-    seeded = queries.join(longest, "dim").select("q_block", "q_ids", "q_vecs", "ids", "vecs")
+    seeded = queries.join(longest, "dim").select("q_block", "dim", "q_ids", "q_vecs", "ids", "vecs")
     seeded = materialize(seeded.mapInArrow(_pairs(k, True), "q_block long, floor binary, low double, queries binary, hits binary, scores binary"), "seeded")
     asks = queries.join(seeded.select("q_block", "low"), "q_block").select("q_block", "dim", "q_top", "low").withColumn("salt", F.pmod(F.col("q_block"), F.lit(_PAIR_SALTS)))
     offers = candidates.join(first.select("block"), "block", "left_anti").select("block", "dim", "top").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_PAIR_SALTS - 1).cast("long"))))
     pairs = asks.join(offers, ["dim", "salt"]).where((F.col("low") <= 0) | (F.col("q_top") * F.col("top") * (1 + 1e-9) >= F.col("low"))).select("q_block", "block")
     pairs = materialize(pairs, "block_pairs")
-    whole = pairs.join(candidates.select("block", "ids", "vecs"), "block").join(queries.select("q_block", "q_ids", "q_vecs").join(seeded.select("q_block", "floor"), "q_block"), "q_block")
-    hits = whole.select("q_block", "q_ids", "q_vecs", "ids", "vecs", "floor").mapInArrow(_pairs(k, False), "query_id long, vec_id long, score long")
+    whole = pairs.join(candidates.select("block", "ids", "vecs"), "block").join(queries.select("q_block", "dim", "q_ids", "q_vecs").join(seeded.select("q_block", "floor"), "q_block"), "q_block")
+    hits = whole.select("q_block", "dim", "q_ids", "q_vecs", "ids", "vecs", "floor").mapInArrow(_pairs(k, False), "query_id long, vec_id long, score long")
     hits = hits.union(seeded.select("queries", "hits", "scores").mapInArrow(_unpack, "query_id long, vec_id long, score long"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
