@@ -245,8 +245,8 @@ def _classes(with_strings: bool):
                 shared = _span_hash(sums, np.maximum(p - c * step, 0), np.minimum(p + LENGTH - np.minimum((c + 1) * step - 1, _REACH), len(data)))
                 key = mix64(h.view(np.uint64) + golden(5) * (c + 1).astype(np.uint64)) ^ shared
                 full = mix64(_span_hash(sums, p - hi, p + LENGTH - lo) ^ (lo * 256 + hi).astype(np.uint64) * GOLDEN)
-                cols = [pa.array(mix64(key).view(np.int64)), pa.array(full.view(np.int64)), pa.array(cid), pa.array(c), pa.array(lo), pa.array(hi)]
-                names = ["key", "full", "cid", "c", "lo", "hi"]
+                cols = [pa.array(mix64(key).view(np.int64)), pa.array(full.view(np.int64)), pa.array(h), pa.array(cid), pa.array(c), pa.array(lo), pa.array(hi)]
+                names = ["key", "full", "h", "cid", "c", "lo", "hi"]
                 if with_strings:
                     cols.append(pa.array([data[i:j].tobytes() for i, j in zip(p - hi, p + LENGTH - lo, strict=True)], pa.binary()))
                     names.append("string")
@@ -270,18 +270,18 @@ def _search(batches):
         for r, m in zip(held, marks, strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate([[False], m, [False]]).astype(np.int8)))
             for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                out.append((r["cid"], r["hi"] - y + 1, r["hi"] - x, None))
+                out.append((r["h"], r["cid"], r["hi"] - y + 1, r["hi"] - x, None))
             if r["parts"] > 1:
                 for o in range(len(m)):
                     digest = hashlib.blake2b(r["string"][o : o + LENGTH], digest_size=16).digest()
                     if not m[o]:
-                        out.append((r["cid"], r["hi"] - o, r["hi"] - o, digest))
+                        out.append((r["h"], r["cid"], r["hi"] - o, r["hi"] - o, digest))
                     elif (digest, o) not in settled:  # once for all that are found here, for other parts
                         settled.add((digest, o))
-                        out.append((None, r["hi"] - o, r["hi"] - o, digest))
+                        out.append((None, None, r["hi"] - o, r["hi"] - o, digest))
         held, size = [], 0
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["cid", "lo", "hi", "open"])
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=["h", "cid", "lo", "hi", "open"])
 
     for batch in batches:
         for r in batch.to_pylist():
@@ -323,42 +323,43 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     Anchors whose gram stands once hold no repeated string. Anchors with the same bytes all around are one context; one
     that occurs twice is repeated all over. Contexts of a gram that differ are cut into classes of strings by their
     distance to the anchor; equal classes again are one, and what differs inside a class goes into suffix
-    arrays of at most GROUP strings. Strings of a larger group that its parts leave open are counted over all parts.
+    arrays of at most GROUP strings. Contexts and classes are told apart by two hashes of 64 bits, one of the gram
+    and one of all their bytes. Strings of a larger group that its parts leave open are counted over all parts.
     """
     anchors = materialize(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, ANCHORS), "anchors")
     often = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
     anchors = materialize(anchors.join(often, "h"), "repeated")
-    contexts = anchors.groupBy("cid").agg(F.min("h").alias("h"), F.count("*").alias("n"), F.min(F.struct("doc", "pos", "back", "ahead")).alias("one"))
-    contexts = materialize(contexts.select("cid", "h", "n", "one.*"), "contexts")
+    contexts = anchors.groupBy("h", "cid").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos", "back", "ahead")).alias("one"))
+    contexts = materialize(contexts.select("h", "cid", "n", "one.*"), "contexts")
     several = materialize(contexts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"), "several")
-    found = [contexts.where("n > 1").select("cid", (F.lit(LENGTH) - F.col("ahead")).alias("lo"), F.col("back").alias("hi"))]
+    found = [contexts.where("n > 1").select("h", "cid", (F.lit(LENGTH) - F.col("ahead")).alias("lo"), F.col("back").alias("hi"))]
 
     open_contexts = materialize(contexts.join(several, "h"), "open")
     by_doc = open_contexts.groupBy("doc").agg(F.collect_list(F.struct("h", "cid", "pos", "back", "ahead")).alias("contexts"))
-    classes = rows.join(by_doc, "doc").select("doc", "text", "contexts").mapInArrow(_classes(False), "key long, full long, cid long, c long, lo long, hi long")
+    classes = rows.join(by_doc, "doc").select("doc", "text", "contexts").mapInArrow(_classes(False), "key long, full long, h long, cid long, c long, lo long, hi long")
     classes = materialize(classes, "classes")
-    kinds = classes.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("cid", "c")).alias("one"))
+    kinds = classes.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct("h", "cid", "c")).alias("one"))
     kinds = materialize(kinds.select("key", "full", "n", "one.*"), "kinds")
-    found.append(classes.join(kinds.where("n > 1").select("key", "full"), ["key", "full"]).select("cid", "lo", "hi"))
+    found.append(classes.join(kinds.where("n > 1").select("key", "full"), ["key", "full"]).select("h", "cid", "lo", "hi"))
     mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     mixed = materialize(mixed, "mixed")
     parts = F.ceil(F.col("kinds") / GROUP)
-    wanted = kinds.join(mixed, "key").select("key", "full", "cid", "c", parts.alias("parts"), F.pmod(F.xxhash64("full"), parts).alias("part"))
+    wanted = kinds.join(mixed, "key").select("key", "full", "h", "cid", "c", parts.alias("parts"), F.pmod(F.xxhash64("full"), parts).alias("part"))
     wanted = materialize(wanted, "wanted")
-    picks = open_contexts.join(wanted.groupBy("cid").agg(F.collect_set("c").alias("classes")), "cid")
+    picks = open_contexts.join(wanted.groupBy("h", "cid").agg(F.collect_set("c").alias("classes")), ["h", "cid"])
     by_doc = picks.groupBy("doc").agg(F.collect_list(F.struct("h", "cid", "pos", "back", "ahead", "classes")).alias("contexts"))
-    strings = rows.join(by_doc, "doc").select("doc", "text", "contexts").mapInArrow(_classes(True), "key long, full long, cid long, c long, lo long, hi long, string binary")
-    strings = strings.join(wanted.select("cid", "c", "parts", "part"), ["cid", "c"]).select("key", "part", "parts", "full", "cid", "lo", "hi", "string")
+    strings = rows.join(by_doc, "doc").select("doc", "text", "contexts").mapInArrow(_classes(True), "key long, full long, h long, cid long, c long, lo long, hi long, string binary")
+    strings = strings.join(wanted.select("h", "cid", "c", "parts", "part"), ["h", "cid", "c"]).select("key", "part", "parts", "full", "h", "cid", "lo", "hi", "string")
     dealt = strings.repartition("key", "part").sortWithinPartitions("key", "part", "full")
-    searched = materialize(dealt.mapInArrow(_search, "cid long, lo long, hi long, open binary"), "searched")
-    ranges = searched.where("open is null").select("cid", "lo", "hi")
+    searched = materialize(dealt.mapInArrow(_search, "h long, cid long, lo long, hi long, open binary"), "searched")
+    ranges = searched.where("open is null").select("h", "cid", "lo", "hi")
     left = searched.where("open is not null")
     again = materialize(left.groupBy("open", "lo").agg(F.count("*").alias("n")).where("n > 1").select("open", "lo"), "again")
-    single = ranges.union(left.where("cid is not null").join(again, ["open", "lo"]).select("cid", "lo", "hi"))
-    single = materialize(single.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "single")
-    found.append(single.select("cid", F.inline("ranges")))
-    ranges = materialize(found[0].union(found[1]).union(found[2]).groupBy("cid").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    spans = anchors.select("cid", "doc", "pos").join(ranges, "cid").select("doc", "pos", F.inline("ranges"))
+    single = ranges.union(left.where("cid is not null").join(again, ["open", "lo"]).select("h", "cid", "lo", "hi"))
+    single = materialize(single.groupBy("h", "cid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "single")
+    found.append(single.select("h", "cid", F.inline("ranges")))
+    ranges = materialize(found[0].union(found[1]).union(found[2]).groupBy("h", "cid").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    spans = anchors.select("h", "cid", "doc", "pos").join(ranges, ["h", "cid"]).select("doc", "pos", F.inline("ranges"))
     return spans.select("doc", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo") + LENGTH).alias("b"))
 
 
