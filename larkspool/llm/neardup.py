@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, golden, materialize, mix64, shingle_sets, text_slices
+from .common import GOLDEN, golden, materialize, mix64, scratch, shingle_sets, text_slices
 from .groups import components
 
 #: 32 bands of 5 registers: a pair at similarity 0.8 shares none with probability 3e-6.
@@ -129,42 +129,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     profile = materialize(rows.mapInArrow(_profile(shingle), "id long, n long, f1 long, f2 long, bands array<long>"), "profile")
-    filled = profile.where("n > 0")
-    classes = materialize(filled.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands")), "classes")
-    buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    full = buckets.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count("*").alias("size")).where("size > 1")
-    full = materialize(full, "buckets")
-    members = materialize(buckets.join(full, ["band", "key"]), "members")
-
-    def close(x: str, y: str):
-        return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-
-    proposals = members.where((F.col("leader") != F.col("rep")) & close("n", "leader_n"))
-    proposals = materialize(proposals.groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared")), "proposals")
-    best = proposals.groupBy("b").agg(F.max(F.struct(F.col("shared"), -F.col("a"))).alias("best")).select((-F.col("best.col2")).alias("a"), "b")
-    best = materialize(best, "pairs")
-    links = _confirm(rows, best, shingle, percent)
-    group = components(links)
-
-    rest = proposals.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialize(_across(rest, group), "pairs")
-    links = materialize(links.union(_confirm(rows, rest, shingle, percent)), "links")
-    group = components(links)
-
-    tried = best.union(rest)
-    labelled = materialize(_labelled(members.select("band", "key", "rep", "n"), group), "labelled")
-    spread = labelled.groupBy("band", "key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("band", "key")
-    mixed = materialize(labelled.join(materialize(spread, "spread"), ["band", "key"]), "mixed")
-    open_rows = mixed.groupBy(F.col("rep").alias("id"), "g").agg(F.count("*").alias("n_buckets")).drop("n_buckets")
-    across = materialize(_prefix_pairs(rows, open_rows, shingle, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_confirm(rows, across, shingle, percent))
-    group = components(links)
-
-    named = classes.select("f1", "f2", "n", "rep").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    named = materialize(named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component")), "named")
+    named = _components_of_sets(rows, profile.where("n > 0"), shingle, percent)
     return profile.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _components_of_sets(rows: DataFrame, filled: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(f1, f2, n, component) of every distinct set."""
+    with scratch(rows.sparkSession):
+        classes = materialize(filled.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands")), "classes")
+        buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+        full = buckets.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count("*").alias("size")).where("size > 1")
+        full = materialize(full, "buckets")
+        members = materialize(buckets.join(full, ["band", "key"]), "members")
+
+        def close(x: str, y: str):
+            return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+
+        proposals = members.where((F.col("leader") != F.col("rep")) & close("n", "leader_n"))
+        proposals = materialize(proposals.groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared")), "proposals")
+        best = proposals.groupBy("b").agg(F.max(F.struct(F.col("shared"), -F.col("a"))).alias("best")).select((-F.col("best.col2")).alias("a"), "b")
+        best = materialize(best, "pairs")
+        links = _confirm(rows, best, shingle, percent)
+        group = components(links)
+
+        rest = proposals.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
+        rest = materialize(_across(rest, group), "pairs")
+        links = materialize(links.union(_confirm(rows, rest, shingle, percent)), "links")
+        group = components(links)
+
+        tried = best.union(rest)
+        labelled = materialize(_labelled(members.select("band", "key", "rep", "n"), group), "labelled")
+        spread = labelled.groupBy("band", "key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("band", "key")
+        mixed = materialize(labelled.join(materialize(spread, "spread"), ["band", "key"]), "mixed")
+        open_rows = mixed.groupBy(F.col("rep").alias("id"), "g").agg(F.count("*").alias("n_buckets")).drop("n_buckets")
+        across = materialize(_prefix_pairs(rows, open_rows, shingle, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(_confirm(rows, across, shingle, percent))
+        group = components(links)
+
+        named = classes.select("f1", "f2", "n", "rep").join(group.withColumnRenamed("node", "rep"), "rep", "left")
+        return materialize(named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component")), "named", keep=True)
+
+
 def _labelled(df: DataFrame, group: DataFrame) -> DataFrame:
     return df.join(group.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("g", F.coalesce("component", "rep")).drop("component")
 
@@ -178,12 +183,13 @@ def _across(pairs: DataFrame, group: DataFrame) -> DataFrame:
 
 def _confirm(rows: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs whose full sets, made anew from the whole texts of both ends, meet the threshold."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    sets = rows.join(wanted, "id", "left_semi").mapInArrow(_full_sets(shingle), "id long, members binary")
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    both = both.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
+    with scratch(rows.sparkSession):
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        sets = rows.join(wanted, "id", "left_semi").mapInArrow(_full_sets(shingle), "id long, members binary")
+        sets = materialize(sets, "sets")
+        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+        both = both.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
+        return materialize(both.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed", keep=True)
 
 
 def _prefix_pairs(rows: DataFrame, open_rows: DataFrame, shingle: int, percent: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, _BYTE_KEYS, _power_tables, golden, materialize, mix64, text_slices
+from .common import GOLDEN, _BYTE_KEYS, _power_tables, golden, materialize, mix64, scratch, text_slices
 
 #: Length of the strings, and of the grams that anchor them.
 LENGTH, GRAM = 200, 50
@@ -372,7 +372,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     doc = F.xxhash64(F.col(id_col), F.isnull(id_col), F.col(text_col))
     rows = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = materialize(spans, "spans")
+    with scratch(docs.sparkSession):
+        spans = repeated_spans(rows).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+        spans = materialize(spans, "spans", keep=True)
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), doc.alias("doc"))
     return whole.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(_removed, "id long, n_bytes long, n_removed long, runs array<array<long>>, kept_sha256 string")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -256,6 +257,21 @@ def covered(texts):
     return out
 
 
+def test_scratch_tables_are_removed(spark):
+    def there(df):
+        return os.path.exists(os.path.dirname(df.inputFiles()[0].removeprefix("file://")))
+
+    with common.scratch(spark):
+        with common.scratch(spark):
+            a, b = (common.materialize(spark.range(3), "t", keep=k) for k in (False, True))
+            both = common.materialize(a.union(b), "t", keep=True)
+            names = [x.inputFiles()[0] for x in (a, b, both)]
+        gone = [not os.path.exists(n.removeprefix("file://")) for n in names]
+        assert gone == [True, False, False] and both.count() == 6 and there(both)
+    c = common.materialize(spark.range(3), "t")
+    assert not os.path.exists(names[1].removeprefix("file://")) and there(c) and c.count() == 3
+
+
 @pytest.mark.parametrize("group", [256, 2])
 def test_substrings(spark, odd, none, group, monkeypatch):
     monkeypatch.setattr(substrings, "GROUP", group)
