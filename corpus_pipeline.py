@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspool.llm import langid
-from larkspool.llm.common import free_name, materialize, sized, table
+from larkspool.llm.common import free_name, materialize, scratch, sized, table
 from larkspool.llm.decontaminate import leaks
 from larkspool.llm.mixing import mix, repeated
 from larkspool.llm.neardup import near_duplicates
@@ -97,11 +97,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written in the shared folder and read again."""
+    """All stages over documents, each written in the shared folder and read again.
+
+    Once a stage is written, the tables that it made on the way are removed; the last one's stay for its reader.
+    """
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
