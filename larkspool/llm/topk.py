@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-CANDIDATE_ROWS, QUERY_ROWS = 4096, 512
+#: Rows of a block on either side; a pair of blocks is shipped as a whole and searched by slices of its queries.
+CANDIDATE_ROWS, QUERY_ROWS, SLICE_ROWS = 4096, 4096, 512
 #: From this local cosine threshold on, a query looks at its strongest coordinates first.
 COORDINATE_FROM = 0.7
 FOCUS = 3
@@ -159,7 +160,10 @@ def _pairs(k: int, seeds: bool):
                 q_ids, c_ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 q, c = _vectors(r["q_vecs"], len(q_ids), r["dim"]), _vectors(r["vecs"], len(c_ids), r["dim"])
                 floor = np.full(len(q_ids), LOWEST, np.int64) if seeds else np.frombuffer(r["floor"], np.int64)
-                found = search_block(q_ids, q, floor, c_ids, c, k)
+                found = []
+                for a in range(0, len(q_ids), SLICE_ROWS):
+                    part = slice(a, a + SLICE_ROWS)
+                    found += [(a + i, x, s) for i, x, s in search_block(q_ids[part], q[part], floor[part], c_ids, c, k)]
                 queries = np.concatenate([np.full(len(x), q_ids[i]) for i, x, _ in found]) if found else np.zeros(0, np.int64)
                 ids = np.concatenate([x for _, x, _ in found]) if found else queries
                 scores = np.concatenate([s for _, _, s in found]) if found else queries

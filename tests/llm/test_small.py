@@ -377,7 +377,7 @@ def test_top_k(spark):
         try:
             got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()}
         finally:
-            topk.CANDIDATE_ROWS, topk.QUERY_ROWS = 4096, 512
+            topk.CANDIDATE_ROWS, topk.QUERY_ROWS = 4096, 4096
         good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
         want = {}
         for q in good:
@@ -388,6 +388,33 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("spread,apart", [(2.0, 1.0), (0.02, 0.05)])
+def test_prunings_pass_over_rows(monkeypatch, spread, apart):
+    """Norms that fall fast are pruned by length, like norms and close neighbours by coordinate; hits are those of all products."""
+    rng = np.random.default_rng(2)
+    q = rng.normal(0, 64, (40, 16))
+    c = np.repeat(q, 50, axis=0) + rng.normal(0, 64 * apart, (2000, 16))
+    rng.shuffle(c)
+    c *= (np.exp(-spread * np.arange(2000) / 2000) / np.linalg.norm(c, axis=1) * 6400)[:, None]
+    q, c = np.floor(q).astype(np.int64), np.floor(c).astype(np.int64)
+    ids, q_ids = np.arange(2000), np.arange(5000, 5040)
+    every = q @ c.T
+    floor = np.sort(every, axis=1)[:, -5].copy()
+    computed = [0]
+    products = topk._products
+
+    def counted(a, b):
+        computed[0] += len(a) * len(b)
+        return products(a, b)
+
+    monkeypatch.setattr(topk, "_products", counted)
+    got = {i: list(zip(x.tolist(), s.tolist())) for i, x, s in topk.search_block(q_ids, q, floor, ids, c, 5)}
+    for i in range(40):
+        order = np.lexsort((ids, -every[i]))[:5]
+        assert got[i] == list(zip(order.tolist(), every[i][order].tolist()))
+    assert computed[0] < every.size * 0.8
+
+
 def test_token_files(spark, odd, none, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
