@@ -23,6 +23,8 @@ BUDGET = 0.08
 #: Bytes of benchmark text that one pass holds in memory on the driver; each task makes its index of them, some 70
 #: bytes for each. More text takes more passes over the documents, one after another.
 PASS_BYTES = 2 << 20
+#: Bytes of text that a task searches at a time, a longer text by itself; some 100 bytes of memory for each.
+SLICE_BYTES = 1 << 18
 
 
 def _plain(text: str) -> bytes:
@@ -193,7 +195,7 @@ def _search(items: tuple[tuple[int, str], ...]):
         for batch in batches:
             rows: list[tuple] = []
             ids = batch.column(0)
-            for a, _, data, offsets in text_slices(batch.column(1), max_rows=4096):
+            for a, _, data, offsets in text_slices(batch.column(1), SLICE_BYTES, max_rows=4096):
                 norm, noffs, at = collapsed(data, offsets)
                 grams = _grams(norm)
                 slots = _slot(grams, index.bits)
