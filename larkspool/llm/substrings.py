@@ -17,7 +17,7 @@ _REACH = LENGTH - GRAM
 #: Starts of the strings around an anchor are split into this many classes.
 CLASSES = 4
 #: Strings of one group that one suffix array holds, at most; and bytes after which a suffix array is built.
-GROUP, CHUNK = 256, 1 << 16
+GROUP, CHUNK = 256, 1 << 14
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
