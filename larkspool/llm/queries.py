@@ -3,9 +3,9 @@
 from functools import wraps
 
 from ..shipping import ship
-from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op13
+from . import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13
 
-_MODULES = (op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op13)
+_MODULES = (op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13)
 
 
 def _shipped(query):
