@@ -28,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--overlap-seconds", type=float, default=4.0)
     p.add_argument("--output-suffix", default="")
     p.add_argument("--output-dir", help="the input's folder if not given")
+    p.add_argument("--metrics-dir", help="a folder of Parquet that the run's metrics are added to")
+    p.add_argument("--mounted", action="store_true", help="the output folder is a local path that all executors have mounted")
     p.add_argument("--hotwords-file", default="hotwords.txt")
     p.add_argument("--initial-prompt-file", default="initial_prompt.txt")
     return p
@@ -62,7 +64,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         folder = Path(args.input).is_dir() if local else False
         out = args.output_dir or (args.input if folder else args.input.rpartition("/")[0] or ".")
         out = str(Path(out).resolve()) if "://" not in out else out
-        transcribe_files(spark, args.input, out, getattr(recogniser, name), options, only_media=folder)
+        found = transcribe_files(spark, args.input, out, getattr(recogniser, name), options, only_media=folder, metrics=args.metrics_dir, show=lambda line: print(line, file=sys.stderr), mounted=args.mounted)
+        print(f"transcripts: {found.transcripts}, audio: {found.duration:.1f} s, recognition: {found.elapsed:.1f} s, real-time factor: {found.elapsed / found.duration if found.duration > 0 else 0.0:.2f}")
         return 0
     except KeyboardInterrupt:
         return 130

@@ -62,3 +62,41 @@ def hopping_windows(points: DataFrame, at_ms: str, window: float = 120.0, overla
     idx = F.floor((F.unix_millis(F.col("hop.start")) + int(overlap * 1000)) / F.lit(int(window * 1000)))
     df = df.withColumns({"idx": idx, "cnt": window_count(F.col("duration"), window)}).drop("hop")
     return df.where((F.col("idx") >= 0) & (F.col("idx") < F.col("cnt")))
+
+
+def windows_that_touch(spans: DataFrame, start: str, end: str, window: float = 120.0, overlap: float = 4.0) -> DataFrame:
+    """spans (duration, start and end in seconds) once for each window whose inference bounds they share a stretch with.
+
+    A span goes straight to the windows from the first to the last that it can touch, so this needs no join and grows
+    with what it gives.
+    """
+    s, e, w, v = F.col(start), F.col(end), float(window), float(overlap)
+    df = spans.withColumn("cnt", window_count(F.col("duration"), window))
+    first = F.greatest(F.lit(0).cast("long"), F.floor((s - v) / w))
+    last = F.least(F.col("cnt") - 1, F.floor((e + v) / w))
+    df = df.where(first <= last).withColumn("idx", F.explode(F.sequence(first, last)))
+    return bounds(df, window, overlap).where((s < F.col("infer_end")) & (e > F.col("infer_start")))
+
+
+#: What becomes of a span at a boundary between two windows: both hear it whole, only the left or the right one does, or neither.
+BOUNDARY_CASES = ("both", "left", "right", "split")
+
+
+def boundary_cases(spans: DataFrame, start: str, end: str, window: float = 120.0, overlap: float = 4.0) -> DataFrame:
+    """spans with a count of each of BOUNDARY_CASES, over the boundaries whose overlap they touch.
+
+    Where a recogniser cuts what it hears at its window's edges, midpoints keep a span once, and once more for each split.
+    """
+    s, e, w, v = F.col(start), F.col(end), float(window), float(overlap)
+    first = F.greatest(F.lit(1).cast("long"), F.ceil((s - v) / w))
+    last = F.least(window_count(F.col("duration"), window) - 1, F.floor((e + v) / w))
+    near = F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k.cast("double") * w)).otherwise(F.array().cast("array<double>"))
+    near = F.filter(near, lambda b: (s < b + v) & (e > b - v))
+    rules = {
+        "both": lambda b: (s >= b - v) & (e <= b + v),
+        "left": lambda b: (s < b - v) & (e < b + v),
+        "right": lambda b: (s >= b - v) & (e > b + v),
+        "split": lambda b: (s < b - v) & (e >= b + v),
+    }
+    df = spans.withColumn("_near", near)
+    return df.withColumns({case: F.size(F.filter("_near", rules[case])).cast("long") for case in BOUNDARY_CASES}).drop("_near")

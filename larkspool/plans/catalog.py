@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, config_text, fixed, rint_long, shortened, stem, strip, subtitle_time
-from ..operators.audio import normalised_array
+from ..operators.audio import normalise_parts, normalised_array
 from ..operators.metrics import progress_line, real_time_factor
 from ..operators.render import numbered, render
 from ..operators.segments import own_chunks, to_segments
-from ..operators.windows import hopping_windows, plan_windows, sample_range
+from ..operators.windows import boundary_cases, hopping_windows, plan_windows, sample_range, windows_that_touch
 from ..shipping import ship
 from ..sources.media import decode_wav
-from .fixtures import HEARD_SQL, UTTERANCE_SQL, heard, recordings, table, utterances
+from .fixtures import HEARD_SQL, LONG_SQL, UTTERANCE_SQL, heard, one_recording, recordings, table, utterances
 from .options import VARIANTS
 
 QUERIES = {}
@@ -93,6 +93,41 @@ def hopping_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hopping_windows(points, "ms").select("recording_id", "ordinal", "idx")
 
 
+@_register(
+    f"""WITH {LONG_SQL},
+    chunk AS (SELECT w.*, u.ordinal, u.text, greatest(u.s0, w.infer_start) - w.infer_start AS start_ts, least(u.s0 + u.len, w.infer_end) - w.infer_start AS end_ts
+      FROM utt u JOIN win w ON u.recording_id = w.recording_id AND u.s0 < w.infer_end AND u.s0 + u.len > w.infer_start),
+    c1 AS (SELECT *, least(duration, infer_start + greatest(0.0::DOUBLE, start_ts)) AS s, least(duration, infer_start + greatest(end_ts, start_ts + 0.05::DOUBLE)) AS e FROM chunk WHERE text <> ''),
+    kept AS (SELECT recording_id, ordinal, count(*) AS kept FROM c1 WHERE (s + e) / 2.0::DOUBLE >= core_start
+      AND ((s + e) / 2.0::DOUBLE < core_end OR (idx = cnt - 1 AND (s + e) / 2.0::DOUBLE <= core_end)) GROUP BY recording_id, ordinal),
+    edge AS (SELECT recording_id, core_start AS b FROM win WHERE idx > 0),
+    near AS (SELECT u.recording_id, u.ordinal, u.s0, u.s0 + u.len AS e, b FROM utt u JOIN edge ON u.recording_id = edge.recording_id AND u.s0 < b + 4 AND u.s0 + u.len > b - 4),
+    cases AS (SELECT recording_id, ordinal, count(*) FILTER (s0 >= b - 4 AND e <= b + 4) AS "both", count(*) FILTER (s0 < b - 4 AND e < b + 4) AS "left",
+      count(*) FILTER (s0 >= b - 4 AND e > b + 4) AS "right", count(*) FILTER (s0 < b - 4 AND e >= b + 4) AS split FROM near GROUP BY recording_id, ordinal)
+    SELECT u.recording_id, u.ordinal, coalesce(kept, 0) AS kept, coalesce("both", 0) AS "both", coalesce("left", 0) AS "left", coalesce("right", 0) AS "right", coalesce(split, 0) AS split
+    FROM utt u LEFT JOIN kept k ON k.recording_id = u.recording_id AND k.ordinal = u.ordinal LEFT JOIN cases c ON c.recording_id = u.recording_id AND c.ordinal = u.ordinal"""
+)
+def boundary_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long utterances, cut by each window that hears a part of them: how often each is kept, and how it lies at boundaries."""
+    spans = utterances(spark, sf_dir, per=10.0).withColumn("e", F.col("s0") + F.col("len"))
+    heard_by = windows_that_touch(spans, "s0", "e")
+    at = F.col("infer_start")
+    chunks = heard_by.withColumns({"start_ts": F.greatest("s0", at) - at, "end_ts": F.least("e", "infer_end") - at})
+    kept = own_chunks(chunks).groupBy("recording_id", "ordinal").agg(F.count("*").alias("kept"))
+    df = boundary_cases(spans, "s0", "e").join(kept, ["recording_id", "ordinal"], "left")
+    return df.select("recording_id", "ordinal", F.coalesce("kept", F.lit(0).cast("long")).alias("kept"), "both", "left", "right", "split")
+
+
+@_register(
+    """WITH s AS (SELECT event_id AS ordinal, CAST(epoch_us(ts) AS DOUBLE) / 1000000.0::DOUBLE AS start, CAST(epoch_us(ts) AS DOUBLE) / 1000000.0::DOUBLE + value / 100.0::DOUBLE AS "end", event_type AS text
+    FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND event_type IS NOT NULL)
+    SELECT row_number() OVER (ORDER BY start, "end", ordinal) AS n, ordinal, text FROM s"""
+)
+def single_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events numbered as the segments of one recording, which no task gets whole."""
+    return numbered(one_recording(spark, sf_dir), ["recording_id"]).select("n", "ordinal", "text")
+
+
 @_register(f"SELECT conv_id, turn, {_strip_sql('text')} AS text FROM conversations WHERE {_strip_sql('text')} <> ''")
 def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "conversations").withColumn("text", strip(F.col("text")))
@@ -183,6 +218,21 @@ def peak_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", F.size("x").cast("long").alias("n_samples"), F.aggregate(micro, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), rint_long(F.array_max("x").cast("double") * 1000000).alias("top"))
 
 
+@_register(
+    """WITH s AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x * 3 AS FLOAT)) AS x FROM embeddings),
+    p AS (SELECT *, max(CAST(list_max(list_transform(x, lambda v: abs(v))) AS DOUBLE)) OVER (PARTITION BY label) AS peak FROM s),
+    n AS (SELECT vec_id, label, list_transform(x, lambda v: greatest(CAST(-1 AS FLOAT), least(CAST(1 AS FLOAT), CAST(CAST(v AS DOUBLE) / CASE WHEN peak > 1.05 THEN peak ELSE 1.0::DOUBLE END AS FLOAT)))) AS x FROM p)
+    SELECT vec_id, label, CAST(len(x) AS BIGINT) AS n_samples, CAST(list_sum(list_transform(x, lambda v: CAST(round_even(CAST(v AS DOUBLE) * 1000000, 0) AS BIGINT))) AS BIGINT) AS total,
+    CAST(round_even(CAST(list_max(x) AS DOUBLE) * 1000000, 0) AS BIGINT) AS top FROM n"""
+)
+def peak_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label as parts of one recording, scaled by the peak of all of them."""
+    signal = F.transform("embedding", lambda x: (x * F.lit(3).cast("float")).cast("float"))
+    df = normalise_parts(table(spark, sf_dir, "embeddings").select("vec_id", "label", signal.alias("x")), ["label"], "x")
+    micro = F.transform("x", lambda v: rint_long(v.cast("double") * 1000000))
+    return df.select("vec_id", "label", F.size("x").cast("long").alias("n_samples"), F.aggregate(micro, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), rint_long(F.array_max("x").cast("double") * 1000000).alias("top"))
+
+
 @_register(
     f"""WITH {UTTERANCE_SQL}, m AS (SELECT recording_id, max(duration) AS duration, sum(CAST(round_even(len * 1000, 0) AS BIGINT)) / 1000.0::DOUBLE AS elapsed FROM utt GROUP BY recording_id)
     SELECT recording_id, printf('%.2f', CASE WHEN duration > 0 THEN elapsed / duration ELSE 0 END) AS rtf, {_clock_sql("elapsed")} AS elapsed_text FROM m"""

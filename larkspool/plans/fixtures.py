@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.windows import windows_that_hear
 
@@ -12,26 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One recording per user: recording_id, duration, ordinal, s0 (start within an hour), len, text."""
+def utterances(spark: SparkSession, sf_dir: str, per: float = 100.0) -> DataFrame:
+    """One recording per user: recording_id, duration, ordinal, s0 (start within an hour), len (value / per), text. One shuffle, by user."""
     events = table(spark, sf_dir, "events").where("ts is not null and value is not null")
-    micros = events.select("user_id", "event_id", "value", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    first = micros.groupBy("user_id").agg(F.min("us").alias("min_us"))
-    df = micros.join(first, "user_id").select(
-        F.col("user_id").alias("recording_id"),
-        F.col("event_id").alias("ordinal"),
-        (F.expr("(us - min_us) div 1000 % 3600000").cast("double") / F.lit(1000.0)).alias("s0"),
-        (F.col("value") / F.lit(100.0)).alias("len"),
-        F.col("event_type").alias("text"),
-    )
-    longest = df.groupBy("recording_id").agg((F.max(F.col("s0") + F.col("len")) + 1.0).alias("duration"))
-    return df.join(longest, "recording_id")
+    user = Window.partitionBy("user_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    df = events.select("user_id", "event_id", "value", "event_type", us.alias("us")).withColumn("min_us", F.min("us").over(user))
+    df = df.withColumns({"s0": F.expr("(us - min_us) div 1000 % 3600000").cast("double") / F.lit(1000.0), "len": F.col("value") / F.lit(per)})
+    df = df.withColumn("duration", F.max(F.col("s0") + F.col("len")).over(user) + 1.0)
+    return df.select(F.col("user_id").alias("recording_id"), F.col("event_id").alias("ordinal"), "s0", "len", F.col("event_type").alias("text"), "duration")
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return utterances(spark, sf_dir).groupBy("recording_id").agg(F.max("duration").alias("duration"))
 
 
+def one_recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as segments of a single recording: recording_id, idx, ordinal, start, end, text."""
+    events = table(spark, sf_dir, "events").where("ts is not null and value is not null and event_type is not null")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = us.cast("double") / F.lit(1e6)
+    return events.select(F.lit(1).cast("long").alias("recording_id"), F.lit(0).cast("long").alias("idx"), F.col("event_id").alias("ordinal"), start.alias("start"), (start + F.col("value") / F.lit(100.0)).alias("end"), F.col("event_type").alias("text"))
+
+
 def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of an ideal recogniser: each utterance in every window in whose inference bounds it starts."""
     df = windows_that_hear(utterances(spark, sf_dir), "s0")
@@ -64,3 +68,5 @@ seg AS (SELECT recording_id, duration, idx, ordinal, s AS start, greatest(e, s +
           AND ((s + e) / 2.0::DOUBLE < core_end OR (idx = cnt - 1 AND (s + e) / 2.0::DOUBLE <= core_end)))
 """
 )
+
+LONG_SQL = UTTERANCE_SQL.replace("value / 100.0::DOUBLE AS len", "value / 10.0::DOUBLE AS len")

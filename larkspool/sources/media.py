@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import struct
+import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stem
-from ..operators.audio import normalise
+from ..operators.audio import normalise, resample_part, resampled_length
 from ..operators.windows import SAMPLE_RATE
+from .wav import read_frames, read_layout
 
 # File types offered for recordings.
 MEDIA_TYPES = ("wav", "mp3", "m4a", "aac", "flac", "ogg", "opus", "mp4", "mov", "mkv", "webm")
@@ -27,77 +28,31 @@ class Samples:
     rate: int
 
 
-def _chunks(content: bytes) -> dict[bytes, bytes]:
-    """The first chunk of each name of a RIFF file; one that ends too early is what there is of it."""
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
-    found: dict[bytes, bytes] = {}
-    at = 12
-    while at + 8 <= len(content):
-        size = struct.unpack_from("<I", content, at + 4)[0]
-        found.setdefault(content[at : at + 4], content[at + 8 : at + 8 + size])
-        at += 8 + size + size % 2
-    return found
-
-
 def decode_wav(content: bytes) -> Samples:
     """WAV of 8, 16, 24 or 32 bit integers or 32 or 64 bit floats, its header plain or extensible: channels are averaged to one."""
-    chunks = _chunks(content)
-    head, raw = chunks.get(b"fmt ", b""), chunks.get(b"data", b"")
-    if len(head) < 16:
-        raise ValueError("the WAV file has no format")
-    kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head)
-    if kind == 0xFFFE and len(head) >= 26:
-        kind = struct.unpack_from("<H", head, 24)[0]
-    width = bits // 8
-    if not channels or not rate or (kind, width) not in {(1, 1), (1, 2), (1, 3), (1, 4), (3, 4), (3, 8)}:
-        raise ValueError(f"WAV samples of kind {kind} and {bits} bits are not supported")
-    raw = raw[: len(raw) // (width * channels) * (width * channels)]
-    if kind == 3:
-        x = np.frombuffer(raw, f"<f{width}").astype(np.float32)
-    elif width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = (((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000).astype(np.float32) / 2**23
-    else:
-        x = (np.frombuffer(raw, f"<i{width}").astype(np.float64) / 2 ** (bits - 1)).astype(np.float32)
-    return Samples(x.reshape(-1, channels).mean(axis=1, dtype=np.float32), rate)
+    f = io.BytesIO(content)
+    layout = read_layout(f)
+    return Samples(read_frames(f, layout, 0, layout.frames), layout.rate)
 
 
 #: Decoders by lower-case suffix. Other formats need a decoder of their own, registered here.
 DECODERS: dict[str, Callable[[bytes], Samples]] = {"wav": decode_wav}
 
 
-#: Zero crossings of the low-pass kernel to either side.
-CROSSINGS = 16
-
-
-def _low_pass(x: np.ndarray, share: float) -> np.ndarray:
-    """x without what lies above this share of its band: a Hann-windowed sinc kernel. NaN and infinite samples spread over its length."""
-    half = int(np.ceil(CROSSINGS / share))
-    at = np.arange(-half, half + 1)
-    kernel = np.sinc(at * share) * np.hanning(2 * half + 3)[1:-1]
-    return np.convolve(np.pad(x, half, mode="edge"), (kernel / kernel.sum()).astype(np.float32), mode="valid")
-
-
 def resample(samples: Samples, rate: int = SAMPLE_RATE) -> np.ndarray:
-    """Linear interpolation to another rate, after a low-pass where the new rate can't hold the old band."""
+    """All samples at another rate, by the filter bank of both rates."""
     x = samples.values.astype(np.float32)
-    if samples.rate == rate or not len(x):
+    if not len(x):
         return x
-    if rate < samples.rate:
-        x = _low_pass(x, 0.95 * rate / samples.rate)
-    n = max(1, round(len(x) * rate / samples.rate))
-    at = np.arange(n) * (samples.rate / rate)
-    return np.interp(at, np.arange(len(x)), x).astype(np.float32)
+    return resample_part(lambda a, b: x[a:b], len(x), 0, resampled_length(len(x), samples.rate, rate), samples.rate, rate)
 
 
-def decode(content: bytes, suffix: str) -> np.ndarray:
+def decode(content: bytes, suffix: str, decoders: dict[str, Callable[[bytes], Samples]] | None = None) -> np.ndarray:
     """Normalised mono float32 samples at SAMPLE_RATE; an unknown format or a file without samples is an error."""
-    if suffix not in DECODERS:
-        raise ValueError(f"no decoder for .{suffix} files; known: {', '.join(sorted(DECODERS))}")
-    x = resample(DECODERS[suffix](content))
+    decoders = DECODERS if decoders is None else decoders
+    if suffix not in decoders:
+        raise ValueError(f"no decoder for .{suffix} files; known: {', '.join(sorted(decoders))}")
+    x = resample(decoders[suffix](content))
     if not len(x):
         raise ValueError("the file has no samples")
     return normalise(x)
@@ -125,13 +80,14 @@ WINDOW_SCHEMA = "recording_id string, stem string, duration double, cnt long, id
 
 def unreadable(files: DataFrame) -> DataFrame:
     """(recording_id, error) of the files that don't decode."""
+    decoders = dict(DECODERS)  # goes to the tasks as it is here
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             errors = []
             for r in batch.itertuples():
                 try:
-                    decode(r.content, r.suffix)
+                    decode(r.content, r.suffix, decoders)
                 except Exception as e:  # noqa: BLE001  whatever a decoder says about a bad file
                     errors.append((r.recording_id, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(errors, columns=["recording_id", "error"])
@@ -144,9 +100,11 @@ def window_samples(files: DataFrame, window: float, overlap: float, skip_unreada
 
     A file is decoded once, in one task; its samples leave it window by window and never as one row. A file that
     doesn't decode is an error, or has no windows with skip_unreadable. Spark bounds the bytes of a batch of such
-    large rows by itself; the session is left as it is.
+    large rows by itself; the session is left as it is. Formats that can be read in ranges have a way without this
+    (ranges.py); this one is for those that must be decoded from their start.
     """
     window, overlap = float(window), float(overlap)
+    decoders = dict(DECODERS)  # goes to the tasks as it is here
 
     def bounds(duration: float):
         cnt = max(1, int(np.ceil(duration / window)))
@@ -158,7 +116,7 @@ def window_samples(files: DataFrame, window: float, overlap: float, skip_unreada
         for batch in batches:
             for r in batch.itertuples():
                 try:
-                    x = decode(r.content, r.suffix)
+                    x = decode(r.content, r.suffix, decoders)
                 except Exception:
                     if not skip_unreadable:
                         raise

@@ -297,3 +297,36 @@ def test_options(tmp_path):
 def test_stub_is_a_recogniser():
     load = loudness_stub(Variant("x"), RunOptions().generation())
     assert load(np.zeros(16_000, np.float32), None) == Recognised([], [], "")
+
+
+def test_stream_names(spark, tmp_path):
+    """A name belongs to the recording that came first; later ones are noted and pass, and do so again if a batch is repeated."""
+    src, out, check, errors = (tmp_path / n for n in ("in", "out", "check", "errors"))
+    (src / "a").mkdir(parents=True)
+    (src / "b").mkdir()
+
+    def go(options=None):
+        transcribe_stream(spark, str(src / "*"), str(out), str(check), loudness_stub, options, errors=str(errors), metrics=str(tmp_path / "metrics")).awaitTermination()
+
+    loud, quiet = wav(np.full(16_000 * 3, 0.5)), wav(np.zeros(16_000))
+    (src / "a" / "talk.wav").write_bytes(loud)
+    (src / "b" / "talk.wav").write_bytes(quiet)
+    go()
+    assert sorted(p.name for p in out.iterdir()) == ["talk.srt", "talk.txt"] and (out / "talk.txt").read_text("utf-8-sig") == "sound 3\n"
+    (src / "b" / "talk.wav").unlink()
+    (src / "b" / "talk.ogg").write_bytes(b"?")
+    (src / "b" / "new.wav").write_bytes(quiet)
+    go()
+    assert (out / "talk.txt").read_text("utf-8-sig") == "sound 3\n" and (out / "new.txt").read_text("utf-8-sig") == "\n"
+    noted = {(r.recording_id.rpartition("/in/")[2], r.error.split(":")[1].strip()[:7]) for r in spark.read.json(str(errors)).collect()}
+    assert noted == {("b/talk.wav", "another"), ("b/talk.ogg", "another")}
+    assert sorted(r.recording_id.rpartition("/")[2] for r in spark.read.parquet(str(tmp_path / "metrics")).collect()) == ["new.wav", "talk.wav"]
+
+
+def test_progress_text_is_the_column(spark):
+    from larkspool.operators.metrics import progress_text
+
+    rows = [(60.0, 120.0, 30.0, 1, 2), (0.0, 120.0, 1.0, 0, 2), (5.0, 0.0, 1.0, 1, 1), (3599.5, 9000.0, 77.7, 3, 9), (9000.0, 9000.0, 1.0, 9, 9), (1.0, 56.0, 2.5, 1, 3)]
+    df = spark.createDataFrame(rows, "d double, t double, e double, i long, c long")
+    got = {(r.d, r.t): r.x for r in df.withColumn("x", progress_line(F.col("d"), F.col("t"), F.col("e"), F.col("i"), F.col("c"))).collect()}
+    assert got == {r[:2]: progress_text(*r) for r in rows}
