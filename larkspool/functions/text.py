@@ -28,12 +28,12 @@ def rint_long(x: Column) -> Column:
 
 def first_max(a: Column, b: Column) -> Column:
     """The larger of two doubles; a where either is NaN."""
-    return F.when(F.isnan(a) | F.isnan(b), a).when(b > a, b).otherwise(a)
+    return F.when((b > a) & ~F.isnan(b), b).otherwise(a)  # NaN is above all others
 
 
 def first_min(a: Column, b: Column) -> Column:
     """The smaller of two doubles; a where either is NaN."""
-    return F.when(F.isnan(a) | F.isnan(b), a).when(b < a, b).otherwise(a)
+    return F.when((b < a) & ~F.isnan(a), b).otherwise(a)
 
 
 def subtitle_time(seconds: Column) -> Column:

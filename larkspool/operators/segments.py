@@ -12,13 +12,17 @@ SHORTEST = 0.05
 
 
 def _times() -> tuple[Column, Column]:
-    """Clamped absolute start and end of a chunk; a chunk without a time is an error."""
-    missing = F.col("start_ts").isNull() | F.col("end_ts").isNull()
-    begin = F.when(missing, F.raise_error(F.lit("a chunk has no time stamp"))).otherwise(F.col("start_ts"))
-    d, at = F.col("duration"), F.col("infer_start")
+    """Clamped absolute start and end of a chunk."""
+    d, at, begin = F.col("duration"), F.col("infer_start"), F.col("start_ts")
     return first_min(d, at + first_max(F.lit(0.0), begin)), first_min(d, at + first_max(F.col("end_ts"), begin + SHORTEST))
 
 
+def _timed(kept: Column) -> Column:
+    """kept, but a chunk without a time is an error. Part of a filter, so that it is looked at whatever columns are wanted."""
+    missing = F.col("start_ts").isNull() | F.col("end_ts").isNull()
+    return F.when(missing, F.raise_error(F.lit("a chunk has no time stamp")).cast("boolean")).otherwise(kept)
+
+
 def _owned() -> Column:
     """Whether the midpoint of start and end lies in the window's core, whose end belongs to the last window alone."""
     middle = (F.col("start") + F.col("end")) / 2.0
@@ -34,7 +38,7 @@ def own_chunks(chunks: DataFrame) -> DataFrame:
     """
     start, end = _times()
     df = chunks.withColumn("text", strip(F.col("text"))).where(F.col("text") != "").withColumns({"start": start, "end": end})
-    return df.where(_owned()).withColumn("end", first_max(F.col("end"), F.col("start") + SHORTEST))
+    return df.where(_timed(_owned())).withColumn("end", first_max(F.col("end"), F.col("start") + SHORTEST))
 
 
 def to_segments(results: DataFrame, with_silent: bool = False) -> DataFrame:
@@ -58,6 +62,6 @@ def to_segments(results: DataFrame, with_silent: bool = False) -> DataFrame:
     start, end = _times()
     chunk = F.col("kind") == 0
     df = df.withColumns({"start": F.when(chunk, start).otherwise(F.col("core_start")), "end": F.when(chunk, end).otherwise(F.col("core_end"))})
-    df = df.where(~chunk | _owned())
+    df = df.where(~chunk | _timed(_owned()))
     end = F.when(chunk, first_max(F.col("end"), F.col("start") + SHORTEST)).otherwise(F.col("end"))
     return df.withColumn("end", end).select(*keys, "ordinal", "start", "end", "text")
