@@ -33,28 +33,53 @@ def _plain(text: str) -> bytes:
 
 
 class PieceIndex:
-    """All q-grams of the pieces of some collapsed benchmark items, sorted, with piece and place."""
+    """The different pieces of some collapsed benchmark items, and their q-grams, sorted, with place and class.
+
+    Equal pieces are one, of several items. A q-gram at a place that many pieces share is one entry, whose class stands for all of
+    them: wording that items have in common is counted once and not once for each item.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], size: int, step: int, least: int):
-        self.item: list[int] = []
-        self.piece: list[np.ndarray] = []
+        found: dict[bytes, list[int]] = {}
         for key, plain in items:
             if len(plain) < least:
                 continue
-            norm = np.frombuffer(plain, np.uint8)
-            last = max(0, len(norm) - size)
+            last = max(0, len(plain) - size)
             for start in sorted({*range(0, last, step), last}):
-                self.item.append(key)
-                self.piece.append(norm[start : start + size])
+                found.setdefault(plain[start : start + size], []).append(key)
+        self.items = list(found.values())
+        self.piece = [np.frombuffer(p, np.uint8) for p in found]
         self.length = np.array([len(p) for p in self.piece], np.int64)
         self.edits = np.floor(self.length * BUDGET).astype(np.int64)
         self.need = np.maximum(1, self.length - Q + 1 - Q * self.edits)
         grams = [_grams(p) for p in self.piece]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        owner = np.repeat(np.arange(len(grams), dtype=np.int64), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g), dtype=np.int16) for g in grams]) if grams else np.zeros(0, np.int16)
-        order = np.argsort(flat, kind="stable")
-        self.gram, self.owner, self.place = flat[order], owner[order], place[order]
+        order = np.lexsort((owner, place, flat))
+        flat, owner, place = flat[order], owner[order], place[order]
+        first = np.append(True, (flat[1:] != flat[:-1]) | (place[1:] != place[:-1])) if len(flat) else np.zeros(0, bool)
+        at = np.flatnonzero(first)
+        ends = np.append(at[1:], len(flat))
+        self.gram, self.place, self.group = flat[at], place[at], owner[at].copy()
+        # classes: a piece by itself has its own number; sets of pieces follow
+        sets: dict[bytes, int] = {}
+        members: list[np.ndarray] = []
+        for k in np.flatnonzero(ends - at > 1).tolist():
+            who = owner[at[k] : ends[k]]
+            name = who.tobytes()
+            if name not in sets:
+                sets[name] = len(self.piece) + len(members)
+                members.append(who)
+            self.group[k] = sets[name]
+        self.member_ends = np.append(np.arange(len(self.piece) + 1), len(self.piece) + np.cumsum([len(m) for m in members], dtype=np.int64)).astype(np.int64)
+        self.members = np.concatenate([np.arange(len(self.piece)), *members]).astype(np.int64)
+
+    def spread(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of each of these classes: (which of the classes, piece)."""
+        n = self.member_ends[group + 1] - self.member_ends[group]
+        rep = np.repeat(np.arange(len(group)), n)
+        return rep, self.members[self.member_ends[group][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)]
 
 
 class PassIndex:
@@ -96,34 +121,114 @@ def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
     return ((grams * GOLDEN) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def banded_edits(piece: np.ndarray, text: np.ndarray, first: int, width: int, most: int) -> tuple[int, int]:
-    """Fewest edits that turn piece into some stretch of text on the diagonals first .. first + width - 1.
+#: Places that are aligned side by side, at most.
+SIDE_BY_SIDE = 1 << 15
 
-    Both ends of the stretch are free. Returns (edits, end of the stretch in text), edits above most as most + 1.
+
+def aligned_places(pieces: list[np.ndarray], which: np.ndarray, texts: list[np.ndarray], text: np.ndarray, first: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each k the fewest edits that turn pieces[which[k]] into some stretch of texts[text[k]] on the diagonals first[k] .. first[k] + width - 1.
+
+    Both ends of the stretch are free. Returns the edits, above most as most + 1, and the ends of the stretches in the text.
+    All places go through the table of edits side by side, one byte of their pieces after the other. Pieces that begin alike
+    share their rows at a place up to the byte where they part.
     """
-    big = most + 1
+    edits, ends = np.full(len(which), most + 1, np.int64), np.zeros(len(which), np.int64)
+    if not len(which):
+        return edits, ends
+    used, compact = np.unique(which, return_inverse=True)
+    by_bytes = sorted(range(len(used)), key=lambda k: pieces[used[k]].tobytes())
+    rank = np.empty(len(used), np.int64)
+    rank[by_bytes] = np.arange(len(used))
+    order = np.lexsort((rank[compact], first, text))
+    for a in range(0, len(order), SIDE_BY_SIDE):
+        part = order[a : a + SIDE_BY_SIDE]
+        edits[part], ends[part] = _aligned(pieces, which[part], texts, text[part], first[part], width, most)
+    return edits, ends
+
+
+def banded_edits(piece: np.ndarray, text: np.ndarray, first: int, width: int, most: int) -> tuple[int, int]:
+    """aligned_places of one piece at one place."""
+    edits, ends = aligned_places([piece], np.zeros(1, np.int64), [text], np.zeros(1, np.int64), np.array([first]), width, most)
+    return int(edits[0]), int(ends[0])
+
+
+def _aligned(pieces, which, texts, text, first, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """aligned_places of places in order of text, first and bytes of the piece."""
+    n, big = len(which), most + 1
+    length = np.array([len(pieces[p]) for p in which])
+    longest = int(length.max())
+    used, compact = np.unique(which, return_inverse=True)
+    table = np.full((len(used), longest), -1, np.int16)
+    for k, p in enumerate(used.tolist()):
+        table[k, : len(pieces[p])] = pieces[p]
+    new = np.append(True, (text[1:] != text[:-1]) | (first[1:] != first[:-1]))
+    place = np.cumsum(new) - 1
+    # what each place shows of its text: -1 outside it
+    reach = np.arange(width + longest)
+    shown = np.full((int(place[-1]) + 1, len(reach)), -1, np.int16)
+    lasts = np.zeros(len(shown), np.int64)
+    for k, at in enumerate(np.flatnonzero(new).tolist()):
+        t, f = texts[text[at]], int(first[at])
+        lo, hi = max(0, f), min(len(t), f + len(reach))
+        if hi > lo:
+            shown[k, lo - f : hi - f] = t[lo:hi]
+        lasts[k] = len(t)
+    starts = first[new]
+    # the byte at which each piece parts from the one before it at the same place
+    parts = np.zeros(n, np.int64)
+    if n > 1:
+        differ = table[compact[1:]] != table[compact[:-1]]
+        parts[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), longest)
+    parts[new] = -1
+    edits, ends = np.full(n, big, np.int64), np.zeros(n, np.int64)
+    alive = np.arange(n)  # places that may still do; group is the row of each
+    group = place.copy()
+    leader = np.flatnonzero(new)  # one place for each row
     d = np.arange(width)
-    row = np.where((d + first >= 0) & (d + first <= len(text)), 0, big)
-    for i in range(1, len(piece) + 1):
-        j = d + first + i  # text position reached on each diagonal
-        ok = (j >= 1) & (j <= len(text))
-        same = np.zeros(width, bool)
-        same[ok] = text[j[ok] - 1] == piece[i - 1]
-        best = np.where(ok, row + ~same, big)
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)  # byte of the piece left out
-        best = np.where((j >= 0) & (j <= len(text)), best, big)
-        best = np.minimum.accumulate(best - d) + d  # bytes of the text left out
-        row = np.minimum(best, big)
-        if row.min() > most:
-            return big, 0
-    at = int(row.argmin())
-    return int(row[at]), at + first + len(piece)
+    at = starts[:, None] + d
+    row = np.where((at >= 0) & (at <= lasts[:, None]), 0, big).astype(np.int16)
+    for i in range(1, longest + 1):
+        splits = parts[alive] < i
+        if int(splits.sum()) > len(leader):
+            heads = np.flatnonzero(splits)
+            row = row[group[heads]]
+            group = np.cumsum(splits) - 1
+            leader = alive[heads]
+        chars = shown[place[leader], i - 1 : i - 1 + width]
+        best = np.where(chars >= 0, row + (chars != table[compact[leader], i - 1][:, None]), big)
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)  # byte of the piece left out
+        j = starts[place[leader]][:, None] + (d + i)
+        best = np.where((j >= 0) & (j <= lasts[place[leader]][:, None]), best, big)
+        best = np.minimum.accumulate(best - d, axis=1) + d  # bytes of the text left out
+        row = np.minimum(best, big).astype(np.int16)
+        done = length[alive] == i
+        if done.any():
+            low = row.min(axis=1)
+            where = row.argmin(axis=1)
+            k = alive[done]
+            edits[k], ends[k] = low[group[done]], first[k] + where[group[done]] + i
+        if i % 8 == 0 or done.any():
+            stay = ~done & (row.min(axis=1) <= most)[group]
+            if not stay.any():
+                break
+            if int(stay.sum()) < len(alive):
+                # a row whose leading place goes is led by the next that stays; a place that goes may have parted the others
+                kept = np.flatnonzero(stay)
+                gone = np.minimum.reduceat(parts[alive], np.append(0, kept[:-1] + 1)) if len(kept) else parts[:0]
+                old = group[kept]
+                alive = alive[kept]
+                parts = parts.copy()
+                parts[alive] = np.minimum(parts[alive], gone)
+                head = np.append(True, old[1:] != old[:-1])
+                row, group, leader = row[old[head]], np.cumsum(head) - 1, alive[head]
+                parts[leader] = np.minimum(parts[leader], i)
+    return edits, ends
 
 
 def _search(items: tuple[tuple[int, str], ...]):
     def in_run(index: PieceIndex, norm: np.ndarray, offsets: np.ndarray, grams: np.ndarray, hit: np.ndarray):
         """(text, piece, start, end, edits) of each piece found, in collapsed positions inside the text."""
-        longest = int(index.length.max())
+        longest, n_pieces, n_groups = int(index.length.max()), len(index.piece), len(index.member_ends) - 1
         slack = int(index.edits.max())
         step = max(1, slack)
         # bands can only fill where enough q-grams of any piece stand within one piece's reach
@@ -145,40 +250,61 @@ def _search(items: tuple[tuple[int, str], ...]):
         n = hi - lo
         rep = np.repeat(np.arange(len(at)), n)
         entry = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-        piece = index.owner[entry]
-        # a text that holds too few of a piece's q-grams in all has no band with enough
-        pair = doc[rep] * len(index.piece) + piece
-        _, which, held = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = held[which] >= index.need[piece]
-        rep, entry, piece, pair = rep[enough], entry[enough], piece[enough], pair[enough]
-        diagonal = at[rep] - offsets[doc[rep]] - index.place[entry]
+        group = index.group[entry]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if not len(piece):
+        if not len(group):
             return found
-        band = diagonal // step
+        # a text that holds too few of a piece's q-grams in all has no band with enough
+        pair, which, held = np.unique(doc[rep] * n_groups + group, return_inverse=True, return_counts=True)
+        of, piece = index.spread(pair % n_groups)
+        text_piece, back = np.unique(pair[of] // n_groups * n_pieces + piece, return_inverse=True)
+        enough = np.bincount(back, held[of], len(text_piece)).astype(np.int64) >= index.need[text_piece % n_pieces]
+        some = np.bincount(of, enough[back], len(pair)) > 0
+        rep, entry, which = rep[some[which]], entry[some[which]], which[some[which]]
+        if not len(rep):
+            return found
+        # q-grams of each class in each band, then of each of its pieces
+        band = (at[rep] - offsets[doc[rep]] - index.place[entry]) // step
         shift = int(-band.min()) + 1
         span = int(band.max()) + shift + 2
-        keys, counts = np.unique(pair * span + band + shift, return_counts=True)
+        class_keys, class_counts = np.unique(which * span + band + shift, return_counts=True)
+        pair = pair[class_keys // span]
+        of, piece = index.spread(pair % n_groups)
+        text_piece_here = pair[of] // n_groups * n_pieces + piece
+        kept = enough[np.searchsorted(text_piece, text_piece_here)]
+        of, text_piece_here = of[kept], text_piece_here[kept]
+        keys, back = np.unique(text_piece_here * span + class_keys[of] % span, return_inverse=True)
+        counts = np.bincount(back, class_counts[of], len(keys)).astype(np.int64)
         # band b covers diagonals from step * b to step * (b + 2) - 1; one that starts empty holds no more than the next
         follows = np.append(keys[1:] == keys[:-1] + 1, False)
         counts = counts + np.where(follows, np.append(counts[1:], 0), 0)
-        good = counts >= index.need[keys // span % len(index.piece)]
-        for k in keys[good].tolist():
-            pair, b = divmod(k, span)
-            d, p = divmod(pair, len(index.piece))
-            if (d, p) in found and not found[d, p][2]:
+        good = counts >= index.need[keys // span % n_pieces]
+        keys, counts = keys[good], counts[good]
+        text_piece, band = keys // span, keys % span - shift
+        d, piece = text_piece // n_pieces, text_piece % n_pieces
+        texts = {k: norm[offsets[k] : offsets[k + 1]] for k in np.unique(d).tolist()}
+        # a piece without edits needs no alignment; all its q-grams stand on one diagonal of its band
+        for k in np.flatnonzero(counts >= index.length[piece] - Q + 1).tolist():
+            here, p = int(d[k]), int(piece[k])
+            if (here, p) in found:
                 continue
-            text = norm[offsets[d] : offsets[d + 1]]
-            first = (b - shift) * step
-            # a piece without edits needs no alignment
+            first = int(band[k]) * step
             low = max(0, first)
-            exact = text[low : max(0, first + 2 * step + int(index.length[p]))].tobytes().find(index.piece[p].tobytes())
+            exact = texts[here][low : max(0, first + 2 * step + int(index.length[p]))].tobytes().find(index.piece[p].tobytes())
             if exact >= 0:
-                found[d, p] = (low + exact, low + exact + int(index.length[p]), 0)
-                continue
-            edits, end = banded_edits(index.piece[p], text, first - step, 4 * step, int(index.edits[p]))
-            if edits <= index.edits[p] and ((d, p) not in found or found[d, p][2] > edits):
-                found[d, p] = (max(0, end - int(index.length[p]) - edits), end, edits)
+                found[here, p] = (low + exact, low + exact + int(index.length[p]), 0)
+        open_ = np.array([(x, y) not in found for x, y in zip(d.tolist(), piece.tolist())], bool)
+        d, piece, band, text_piece = d[open_], piece[open_], band[open_], text_piece[open_]
+        # two bands of a piece that follow each other are one place
+        runs = np.append(True, (text_piece[1:] != text_piece[:-1]) | (band[1:] != band[:-1] + 1)) if len(d) else np.zeros(0, bool)
+        starts = np.flatnonzero(runs)
+        in_row = np.arange(len(d)) - (starts[np.cumsum(runs) - 1] if len(d) else 0)
+        one = in_row % 2 == 0
+        d, piece, band = d[one], piece[one], band[one]
+        edits, ends = aligned_places(index.piece, piece, texts, d, (band - 1) * step, 5 * step, slack)
+        for here, p, e, end in zip(d.tolist(), piece.tolist(), edits.tolist(), ends.tolist()):
+            if e <= index.edits[p] and ((here, p) not in found or found[here, p][2] > e):
+                found[here, p] = (max(0, end - int(index.length[p]) - e), end, e)
         return found
 
     def short_texts(whole: dict[bytes, list[int]], norm: np.ndarray, offsets: np.ndarray):
@@ -208,7 +334,8 @@ def _search(items: tuple[tuple[int, str], ...]):
                 number = 0
                 for pieces, seen in zip(index.pieces, index.seen, strict=True):
                     for (d, p), (start, end, edits) in in_run(pieces, norm, noffs, grams, seen[slots]).items():
-                        add(d, pieces.item[p], number + p, start, end, edits)
+                        for item in pieces.items[p]:
+                            add(d, item, number + p, start, end, edits)
                     number += len(pieces.piece)
                 for d, item, start, end in short_texts(index.whole, norm, noffs):
                     add(d, item, number, start, end, 0)
@@ -227,7 +354,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     unedited bytes holds a whole piece. A piece is found where at most BUDGET of its bytes are edited. By the q-gram lemma such a place keeps
     length - Q + 1 - Q * edits q-grams within a diagonal band; overlapping bands that hold as many are verified by
     banded alignment, and the best place of each piece and text is reported in bytes of the text. start is at
-    most the number of edits too far left.
+    most the number of edits too far left. Wording that many items share is counted once for all of them and aligned once
+    at each place, so that a prompt ahead of every item costs little.
 
     Null and empty texts hold nothing; items of fewer than Q collapsed bytes have no q-gram and are found where
     they are the whole text; items without a letter or digit are not searched; null ids or item ids are left out;

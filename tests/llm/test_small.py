@@ -109,6 +109,30 @@ def test_mix(spark, odd, none):
     assert "a" in mixing.mix(odd).columns
 
 
+@pytest.mark.parametrize("sizes", [(200, 129, 183), (1, 127, 128), (129, 255, 256), (257, 300, 5000), (3, 20_000, 40)])
+def test_mix_takes_targets_to_the_word(spark, sizes):
+    """Sources of one, two, three and many blocks, the last one short or not: each gives its rounded target, whatever is drawn."""
+    rng = np.random.default_rng(sum(sizes))
+    rows, n = [], 0
+    for source, size in zip("abc", sizes):
+        left = size
+        while left:
+            k = min(left, int(rng.integers(1, 70)))
+            rows.append((n, words(n, k), source))
+            n, left = n + 1, left - k
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    firsts = []
+    for seed in (0, 1):
+        got = mixing.mix(df, seed=seed).collect()
+        for source in "abc":
+            own = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5, source
+            assert all(r.taken <= 2 * r["size"] for r in own)
+        assert all((r.first_shard is None) == (r.taken == 0) for r in got)
+        firsts.append({r.doc_id: (r.first_shard, r.first_slot) for r in got})
+    assert len(rows) < 5 or firsts[0] != firsts[1]  # another draw puts rows elsewhere
+
+
 def test_mix_by_hand(spark):
     """Targets by repeated sharing of the excess; taken words by walking all slots."""
     rows = [(i, words(i, 5 + i % 40), "abcd"[i % 4] if i % 7 else None) for i in range(200)] + [(900 + i, words(i, 3), "e") for i in range(4)]
@@ -135,7 +159,7 @@ def test_mix_by_hand(spark):
     for r in got:
         assert abs(r.target - want[by[r.doc_id]]) < 1e-6 and r.source_size == size[by[r.doc_id]] and r.taken <= 2 * r["size"]
         taken[by[r.doc_id]] = taken.get(by[r.doc_id], 0) + r.taken
-    assert all(abs(taken[s] - want[s]) <= 17 for s in order)
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in order)
     # walk all slots: each holds one block of one source, in runs of rows that add up to what is taken
     held, walked, pieces = {}, {}, {}
     for r in mixing.mixture(df, block=16).collect():
@@ -553,7 +577,7 @@ def test_leaks_equal_all_pairs(spark, monkeypatch):
             for d, text in docs:
                 edits = least_edits(piece.tobytes(), decontaminate._plain(text or ""))
                 if edits <= len(piece) * decontaminate.BUDGET:
-                    want.add((d, x.item[p], number + p, edits))
+                    want |= {(d, item, number + p, edits) for item in x.items[p]}
         number += len(x.piece)
     assert {e for *_, e in want} >= {0, 1, 2, 3, 4, 5}
     want |= {(d, item, number, 0) for d, item in ((0, 50), (1, 50), (3, 51))}
@@ -565,6 +589,49 @@ def test_leaks_equal_all_pairs(spark, monkeypatch):
     assert {(r.id, r.item_id, r.edits) for r in several} == {(d, i, min(e for a, b, _, e in want if (a, b) == (d, i))) for d, i, _, _ in want}
 
 
+def test_leaks_of_items_that_begin_alike(spark):
+    """Items with one instruction ahead, and equal items: found where a text holds their own words, not where it holds the instruction."""
+    rng = np.random.default_rng(31)
+    ahead = words(500, 18)
+    bench = [(i, ahead + " " + words(510 + i, 14)) for i in range(12)] + [(90, ahead + " " + words(510, 14)), (91, words(600, 12)), (92, words(600, 12))]
+    docs = [(0, ahead), (1, " ".join(ahead + " " + words(700 + k, 6) for k in range(8))), (2, words(3, 40))]
+    for k in range(24):
+        text = bench[k % 14][1]
+        cut = text[int(rng.integers(0, 60)) :][: int(rng.integers(70, 220))]
+        x = int(rng.integers(1, len(cut)))
+        docs.append((10 + k, words(800 + k, 5) + " " + cut[:x] + "qz"[: k % 3] + cut[x + k % 2 :] + " " + words(900 + k, 5)))
+    index = decontaminate.PassIndex(tuple(bench))
+    want, number = set(), 0
+    for x in index.pieces:
+        for p, piece in enumerate(x.piece):
+            for d, text in docs:
+                edits = least_edits(piece.tobytes(), decontaminate._plain(text))
+                if edits <= len(piece) * decontaminate.BUDGET:
+                    want |= {(d, item, number + p, edits) for item in x.items[p]}
+        number += len(x.piece)
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r.id, r.item_id, r.piece, r.edits) for r in found) == sorted(want) and len(want) > 100
+    both = [{(r.id, r.piece) for r in found if r.item_id == i} for i in (91, 92)]
+    assert both[0] == both[1] != set()
+
+
+def test_shared_wording_is_cheap():
+    """A thousand items with one instruction, a text that holds it a hundred times: seconds of work, not many minutes."""
+    import time
+
+    import pyarrow as pa
+
+    ahead = words(500, 18)
+    bench = tuple((i, ahead + " " + words(1000 + i, 25)) for i in range(1000))
+    text = " ".join(ahead + " " + words(3000 + k, 250) for k in range(100)) + " " + bench[17][1]
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], names=["id", "text"])
+    search = decontaminate._search(bench)
+    list(search([batch]))  # the index is made once
+    began = time.process_time()
+    (found,) = search([batch])
+    assert set(found.column(1).to_pylist()) == {17} and time.process_time() - began < 10
+
+
 def test_banded_edits():
     def plain(p, t):
         row = [0] * (len(t) + 1)
