@@ -62,8 +62,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: flo
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, cap: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, with_text: bool = True) -> DataFrame:
     """docs with size, source_size, target and taken: the words of this row that all output shards take, repeats counted.
 
-    See mixture() for how shards are filled; taken adds up what they hold. A word is taken twice at most when cap
-    is 2.
+    See mixture() for how shards are filled; taken adds up what they hold, for each source its rounded target to the word. A
+    word is taken twice at most when cap is 2. first_shard and first_slot are where the first of them stand (null if none do),
+    as the draws put them.
 
     A null or empty text has no words and is taken 0 times; a null source is a source; equal rows each hold
     their own words; an empty table gives no rows; a very long text costs one row for each block it reaches
@@ -71,13 +72,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     seed give the same result. Without with_text, docs of id, text and source come back as id and source alone,
     and no text is shuffled.
     """
-    added = ("size", "source_size", "target", "taken")
+    added = ("size", "source_size", "target", "taken", "first_shard", "first_slot")
     kept = [c for c in docs.columns if c not in added]
     packed = _Packed(docs, id_col, text_col, source_col, weights, ratio, cap, block)
-    per_row = packed.contents(seed).groupBy("source_no", "_bucket", "_rn").agg(F.sum("words").alias("taken"))
+    per_row = packed.contents(seed).groupBy("source_no", "_bucket", "_rn").agg(F.sum("words").alias("taken"), F.min(F.struct("shard", "slot")).alias("_first"))
     out = packed.rows.select("source_no", "_bucket", "_rn", "_id", "_src", "_row", "size").join(per_row, ["source_no", "_bucket", "_rn"], "left")
     out = out.join(sized(packed.wanted.select("source_no", "source_size", "target"), packed.n_sources), "source_no")
-    out = out.select("_id", "_src", "_row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = out.select("_id", "_src", "_row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("_first.shard").alias("first_shard"), F.col("_first.slot").alias("first_slot"))
     if set(kept) <= {id_col, text_col, source_col} and not with_text:
         return out.select(F.col("_id").alias(id_col), F.col("_src").alias(source_col), *added)
     # the other columns, packed so that their names can't clash, come back by a hash of the row; equal rows are told apart by number
@@ -95,8 +96,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     multinomial; what the draws of a source are over its target, all shards together, goes to those that are
     short of theirs, so only totals are put right. A source's slots are numbered through all shards; a
     permutation of the source's own maps their numbers to numbers of blocks, and slots join blocks by number. All
-    blocks of a source are taken before any comes again; its last slot takes only the words that the target
-    still needs. first counts from 0 in the row's own words. Rows that agree in id, source and text are numbered
+    blocks of a source are taken before any comes again; the last turn takes blocks of full length first, and its last
+    slot only the words that the target still needs. first counts from 0 in the row's own words. Rows that agree in id, source and text are numbered
     in one window; any others, without an id or not, are dealt by hash.
     """
     packed = _Packed(docs, id_col, text_col, source_col, weights, ratio, cap, block)
@@ -122,7 +123,7 @@ class _Packed:
         self.n_sources = sources.count()
         wanted = targets(sources.drop("n_rows"), weights, ratio, cap)
         size, goal = F.col("source_size"), F.round("target").cast("long")
-        wanted = wanted.withColumns({"blocks": F.ceil(size / block), "passes": F.when(size > 0, F.floor(goal / size)).otherwise(0), "rest": F.when(size > 0, goal % size).otherwise(0)})
+        wanted = wanted.withColumns({"blocks": F.ceil(size / block), "full": F.floor(size / block), "passes": F.when(size > 0, F.floor(goal / size)).otherwise(0), "rest": F.when(size > 0, goal % size).otherwise(0)})
         wanted = wanted.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
         self.wanted = materialize(wanted, "targets")
 
@@ -174,7 +175,7 @@ def slots(wanted: DataFrame, block: int = BLOCK_WORDS, seed: int = 0) -> DataFra
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(counts.withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0))), "shard_counts")
     got = counts.groupBy("source_no").agg(F.sum("n").alias("got"))
-    plan = wanted.select("source_no", "blocks", "passes", "rest", "slots").join(sized(got, n_sources), "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    plan = wanted.select("source_no", "blocks", "full", "passes", "rest", "slots").join(sized(got, n_sources), "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     over, short = F.greatest(F.col("got") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("got"), F.lit(0))
     by = Window.orderBy("source_no")
     plan = materialize(plan.withColumns({"short": short, "over_lo": F.sum(over).over(by) - over, "short_lo": F.sum(short).over(by) - short}), "plan")
@@ -191,10 +192,13 @@ def slots(wanted: DataFrame, block: int = BLOCK_WORDS, seed: int = 0) -> DataFra
     taken = _owners(given, "given", plan.select("source_no", "got", F.col("short_lo").alias("lo"), F.col("short").alias("n")), total, n_sources)
     taken = taken.select("shard", "slot", "source_no", (F.col("got") + F.col("given") - F.col("lo")).alias("order"))
     final = numbered.where("order < slots").select("shard", "slot", "source_no", "order").union(taken)
-    final = final.join(sized(plan.select("source_no", "blocks", "passes", "rest"), n_sources), "source_no")
+    final = final.join(sized(plan.select("source_no", "blocks", "full", "passes", "rest"), n_sources), "source_no")
     turn, index = F.floor(F.col("order") / F.col("blocks")), F.pmod("order", F.col("blocks"))
     whole = (turn < F.col("passes")) | (index < F.floor(F.col("rest") / block))
-    return final.select("shard", "slot", "source_no", permuted(index, F.col("blocks"), F.lit(seed + 1), F.col("source_no"), turn).alias("block"), F.when(~whole, F.col("rest") % block).alias("part"))
+    # the last turn, which takes only some blocks, is dealt over those of full length; a shorter one comes behind them
+    among = F.when(turn < F.col("passes"), F.col("blocks")).otherwise(F.col("full"))
+    chosen = F.when(index < among, permuted(index, F.greatest(among, F.lit(1)), F.lit(seed + 1), F.col("source_no"), turn)).otherwise(index)
+    return final.select("shard", "slot", "source_no", chosen.alias("block"), F.when(~whole, F.col("rest") % block).alias("part"))
 
 
 def repeated(mixed: DataFrame, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
