@@ -594,7 +594,7 @@ def test_leaks_of_items_that_begin_alike(spark):
     rng = np.random.default_rng(31)
     ahead = words(500, 18)
     bench = [(i, ahead + " " + words(510 + i, 14)) for i in range(12)] + [(90, ahead + " " + words(510, 14)), (91, words(600, 12)), (92, words(600, 12))]
-    docs = [(0, ahead), (1, " ".join(ahead + " " + words(700 + k, 6) for k in range(8))), (2, words(3, 40))]
+    docs = [(0, ahead), (1, " ".join(ahead + " " + words(700 + k, 6) for k in range(8))), (2, words(3, 40)), (3, words(600, 12))]
     for k in range(24):
         text = bench[k % 14][1]
         cut = text[int(rng.integers(0, 60)) :][: int(rng.integers(70, 220))]
