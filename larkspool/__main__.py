@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from .plans.options import VARIANTS, RunOptions, Variant, model_complete, require_device
 from .plans.transcribe import transcribe_files
-from .sources.config import read_optional_text
+from .sources.config import optional_entries
 
 
 def parser() -> argparse.ArgumentParser:
@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 3
     try:
         spark = spark or SparkSession.builder.appName("larkspool").getOrCreate()
-        options = RunOptions(**checks, hotwords=read_optional_text(spark, args.hotwords_file), initial_prompt=read_optional_text(spark, args.initial_prompt_file))
+        options = RunOptions(**checks, hotwords=optional_entries(spark, args.hotwords_file), initial_prompt=optional_entries(spark, args.initial_prompt_file))
         module, _, name = args.recogniser.partition(":")
         recogniser = importlib.import_module(module)
         if hasattr(recogniser, "available_devices"):  # a recogniser that needs a device says which there are

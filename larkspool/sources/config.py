@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import config_text
 
 
-def read_optional_text(spark: SparkSession, path: str) -> str:
+def optional_entries(spark: SparkSession, path: str) -> str:
     """Entries of a text file, '' if it is missing. What can't be read as one UTF-8 file raises."""
     try:
         files = spark.read.format("binaryFile").load(path)

@@ -21,7 +21,7 @@ from larkspool.operators.windows import plan_windows, sample_range
 from larkspool.plans.options import RunOptions, Variant, model_complete, require_device
 from larkspool.plans.transcribe import transcribe, transcribe_files
 from larkspool.sources import media
-from larkspool.sources.config import read_optional_text
+from larkspool.sources.config import optional_entries
 from larkspool.sources.media import decode, resample, scan
 from larkspool.sources.media import Samples
 from larkspool.sources.sinks import write_documents
@@ -276,10 +276,10 @@ def test_scan_and_config_files(spark, tmp_path):
     (tmp_path / "b.TXT").write_bytes("﻿# x\n one \ntwo".encode())
     assert scan(spark, str(tmp_path)).count() == 2
     assert [r.stem for r in scan(spark, str(tmp_path), only_media=True).collect()] == ["a"]
-    assert read_optional_text(spark, str(tmp_path / "none.txt")) == ""
-    assert read_optional_text(spark, str(tmp_path / "b.TXT")) == "one, two"
+    assert optional_entries(spark, str(tmp_path / "none.txt")) == ""
+    assert optional_entries(spark, str(tmp_path / "b.TXT")) == "one, two"
     with pytest.raises(ValueError):
-        read_optional_text(spark, str(tmp_path))
+        optional_entries(spark, str(tmp_path))
 
 
 def test_options(tmp_path):
