@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 
 import numpy as np
@@ -16,9 +17,10 @@ from ..operators.metrics import progress_line, real_time_factor
 from ..operators.render import numbered, render
 from ..operators.segments import own_chunks, to_segments
 from ..operators.windows import boundary_cases, hopping_windows, plan_windows, sample_range, windows_that_touch
-from ..shipping import ship
+from ..shipping import shared_folder, ship
 from ..sources.media import decode_wav
-from .fixtures import HEARD_SQL, LONG_SQL, UTTERANCE_SQL, heard, one_recording, recordings, table, utterances
+from ..sources.ranges import listed, plan_ranges, range_samples
+from .fixtures import HEARD_SQL, LONG_SQL, UTTERANCE_SQL, heard, one_recording, recordings, table, utterances, write_recordings
 from .options import VARIANTS
 
 QUERIES = {}
@@ -297,3 +299,30 @@ def media_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["vec_id", "n_samples", "total", "peak"])
 
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, n_samples long, total long, peak long")
+
+
+@_register(
+    """WITH v AS (SELECT label, unnest(list_transform(embedding, lambda x: CAST(x * 3 AS FLOAT))) AS x, unnest(range(len(embedding))) AS i, vec_id FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+    s AS (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS pos FROM v),
+    r AS (SELECT label, count(*) AS n, CAST(max(abs(x)) AS DOUBLE) AS peak FROM s GROUP BY label),
+    w AS (SELECT *, unnest(range(0, greatest(1, (n + 3999) // 4000))) AS idx, greatest(1, (n + 3999) // 4000) AS cnt FROM r),
+    b AS (SELECT *, CASE WHEN idx = 0 THEN 0 ELSE idx * 4000 - 1000 END AS a, CASE WHEN idx + 1 < cnt THEN least(n, (idx + 1) * 4000 + 1000) ELSE n END AS z FROM w),
+    y AS (SELECT b.label, idx, greatest(CAST(-1 AS FLOAT), least(CAST(1 AS FLOAT), CAST(CAST(x AS DOUBLE) / CASE WHEN peak > 1.05 THEN peak ELSE 1.0::DOUBLE END AS FLOAT))) AS x FROM b JOIN s ON s.label = b.label AND pos >= a AND pos < z)
+    SELECT CAST(label AS VARCHAR) AS recording, idx, count(*) AS n_samples, CAST(sum(CAST(round_even(CAST(x AS DOUBLE) * 1000000, 0) AS BIGINT)) AS BIGINT) AS total,
+    CAST(round_even(CAST(max(x) AS DOUBLE) * 1000000, 0) AS BIGINT) AS top FROM y GROUP BY label, idx"""
+)
+def ranged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of each label as a recording on disk, read back window by window: a quarter of a second with a sixteenth on either side."""
+    folder = f"{shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    write_recordings(spark, sf_dir, folder)
+
+    def sums(batches):
+        for batch in batches:
+            rows = []
+            for name, idx, pcm in zip(batch["stem"], batch["idx"], batch["pcm"], strict=True):
+                y = np.rint(np.frombuffer(pcm, np.float32).astype(np.float64) * 1_000_000).astype(np.int64)
+                rows.append((name, idx, len(y), int(y.sum()), int(y.max())))
+            yield pd.DataFrame(rows, columns=["recording", "idx", "n_samples", "total", "top"])
+
+    windows = range_samples(plan_ranges(listed(spark, folder), 0.25, 0.0625))
+    return windows.select("stem", "idx", "pcm").mapInPandas(sums, "recording string, idx long, n_samples long, total long, top long")

@@ -23,3 +23,13 @@ def ship(spark: SparkSession) -> None:
             out.write(f, f.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: spark.checkpoint.dir, or a new local one where that is unset and all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return folder.rstrip("/")

@@ -74,6 +74,13 @@ def mono(raw: bytes, layout: Layout) -> np.ndarray:
     return x.reshape(-1, layout.channels).mean(axis=1, dtype=np.float32)
 
 
+def float_header(frames: int, rate: int) -> bytes:
+    """The head of a mono file of float32 samples."""
+    size = 4 * frames
+    fmt = struct.pack("<HHIIHH", 3, 1, rate, 4 * rate, 4, 32)
+    return b"RIFF" + struct.pack("<I", min(size + 36, 0xFFFFFFFF)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", min(size, 0xFFFFFFFF))
+
+
 def read_frames(f: BinaryIO, layout: Layout, start: int, stop: int) -> np.ndarray:
     """Mono samples of a range of frames. A file that has become shorter is an error."""
     f.seek(layout.at + start * layout.frame)
