@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .operators.recognise import device_profile
 from .plans.options import VARIANTS, RunOptions, Variant, model_complete, require_device
 from .plans.transcribe import transcribe_files
 from .sources.config import optional_entries
@@ -22,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--compare", action="store_true", help="run all known variants, their folders below the model folder")
     p.add_argument("--recogniser", default="larkspool.operators.recognise:loudness_stub", help="module:function that loads a model")
     p.add_argument("--device", default="NPU")
+    p.add_argument("--devices-per-executor", type=int, default=0, help="ask Spark for so many of the device on each executor, one for each task of recognition")
     p.add_argument("--beams", type=int, default=1)
     p.add_argument("--language", default="<|ko|>")
     p.add_argument("--window-seconds", type=float, default=120.0)
@@ -38,6 +40,9 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     variants = tuple(Variant(v.label, f"{args.model_dir}/{Path(v.model_dir).name}", v.suffix) for v in VARIANTS) if args.compare else (Variant(args.model_label, args.model_dir),)
+    if args.devices_per_executor < 0:
+        print("error: devices-per-executor must not be negative", file=sys.stderr)
+        return 2
     checks = {"beams": args.beams, "language": args.language, "device": args.device, "window_seconds": args.window_seconds, "overlap_seconds": args.overlap_seconds, "output_suffix": args.output_suffix, "variants": variants}
     try:
         RunOptions(**checks)
@@ -64,7 +69,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         folder = Path(args.input).is_dir() if local else False
         out = args.output_dir or (args.input if folder else args.input.rpartition("/")[0] or ".")
         out = str(Path(out).resolve()) if "://" not in out else out
-        found = transcribe_files(spark, args.input, out, getattr(recogniser, name), options, only_media=folder, metrics=args.metrics_dir, show=lambda line: print(line, file=sys.stderr), mounted=args.mounted)
+        profile = device_profile(args.device, args.devices_per_executor) if args.devices_per_executor else None
+        found = transcribe_files(spark, args.input, out, getattr(recogniser, name), options, only_media=folder, metrics=args.metrics_dir, profile=profile, show=lambda line: print(line, file=sys.stderr), mounted=args.mounted)
         print(f"transcripts: {found.transcripts}, audio: {found.duration:.1f} s, recognition: {found.elapsed:.1f} s, real-time factor: {found.elapsed / found.duration if found.duration > 0 else 0.0:.2f}")
         return 0
     except KeyboardInterrupt:
