@@ -6,6 +6,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ SHORT, SHORT_STEP = 56, 17
 EXCERPT = SHORT + SHORT_STEP - 1
 #: Edits allowed for each byte of a piece.
 BUDGET = 0.08
-#: Bytes of benchmark text that one pass holds in memory on the driver; each task makes its index of them, some 70
-#: bytes for each. More text takes more passes over the documents, one after another.
+#: Bytes of benchmark text in one index of a task, some 70 bytes of memory for each.
 PASS_BYTES = 2 << 20
+#: Bytes of benchmark text that one scan of the documents is searched for, index after index; the driver holds so much of it
+#: and sends it to the tasks. More text takes more scans.
+SCAN_BYTES = 64 << 20
 #: Bytes of text that a task searches at a time, a longer text by itself; some 100 bytes of memory for each.
 SLICE_BYTES = 1 << 18
 
@@ -225,7 +228,9 @@ def _aligned(pieces, which, texts, text, first, width: int, most: int) -> tuple[
     return edits, ends
 
 
-def _search(items: tuple[tuple[int, str], ...]):
+def _search(items: tuple[tuple[int, str], ...] | Broadcast):
+    """Finds pieces of items, or of each of the broadcast tuples of items, in batches of texts."""
+
     def in_run(index: PieceIndex, norm: np.ndarray, offsets: np.ndarray, grams: np.ndarray, hit: np.ndarray):
         """(text, piece, start, end, edits) of each piece found, in collapsed positions inside the text."""
         longest, n_pieces, n_groups = int(index.length.max()), len(index.piece), len(index.member_ends) - 1
@@ -316,29 +321,36 @@ def _search(items: tuple[tuple[int, str], ...]):
             for item in whole.get(plain, ()):
                 yield d, item, start, start + len(plain)
 
+    def searched(index: PassIndex, batch, number: int, rows: list[tuple]) -> int:
+        """Adds what a batch holds of an index, whose pieces are numbered from number on; gives the next number."""
+        ids = batch.column(0)
+        for a, _, data, offsets in text_slices(batch.column(1), SLICE_BYTES, max_rows=4096):
+            norm, noffs, at = collapsed(data, offsets)
+            grams = _grams(norm)
+            slots = _slot(grams, index.bits)
+
+            def add(d: int, item: int, piece: int, start: int, end: int, edits: int):
+                base = noffs[d]
+                raw = (int(at[base + start] - offsets[d]), int(at[base + end - 1] - offsets[d]) + 1)
+                rows.append((ids[a + d].as_py(), item, piece, *raw, edits))
+
+            ahead = number
+            for pieces, seen in zip(index.pieces, index.seen, strict=True):
+                for (d, p), (start, end, edits) in in_run(pieces, norm, noffs, grams, seen[slots]).items():
+                    for item in pieces.items[p]:
+                        add(d, item, ahead + p, start, end, edits)
+                ahead += len(pieces.piece)
+            for d, item, start, end in short_texts(index.whole, norm, noffs):
+                add(d, item, ahead, start, end, 0)
+        return number + sum(len(pieces.piece) for pieces in index.pieces) + 1
+
     def run(batches):
-        index = _pass_index(items)
+        passes = items.value if isinstance(items, Broadcast) else [items]
         for batch in batches:
             rows: list[tuple] = []
-            ids = batch.column(0)
-            for a, _, data, offsets in text_slices(batch.column(1), SLICE_BYTES, max_rows=4096):
-                norm, noffs, at = collapsed(data, offsets)
-                grams = _grams(norm)
-                slots = _slot(grams, index.bits)
-
-                def add(d: int, item: int, piece: int, start: int, end: int, edits: int):
-                    base = noffs[d]
-                    raw = (int(at[base + start] - offsets[d]), int(at[base + end - 1] - offsets[d]) + 1)
-                    rows.append((ids[a + d].as_py(), item, piece, *raw, edits))
-
-                number = 0
-                for pieces, seen in zip(index.pieces, index.seen, strict=True):
-                    for (d, p), (start, end, edits) in in_run(pieces, norm, noffs, grams, seen[slots]).items():
-                        for item in pieces.items[p]:
-                            add(d, item, number + p, start, end, edits)
-                    number += len(pieces.piece)
-                for d, item, start, end in short_texts(index.whole, norm, noffs):
-                    add(d, item, number, start, end, 0)
+            number = 0
+            for each in passes:
+                number = searched(_pass_index(each), batch, number, rows)
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "item_id", "piece", "start", "end", "edits"])
 
@@ -359,25 +371,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts hold nothing; items of fewer than Q collapsed bytes have no q-gram and are found where
     they are the whole text; items without a letter or digit are not searched; null ids or item ids are left out;
-    repeated rows give repeated rows; an empty table on either side gives no rows. The driver holds one pass of the
-    benchmark at a time, PASS_BYTES bytes or one longer item; where there are several, each pass's rows are
-    written before the next is read. Pieces are numbered within a pass. Time and memory of a task grow in proportion to its longest text.
+    repeated rows give repeated rows; an empty table on either side gives no rows. A batch of texts is searched by
+    one index of PASS_BYTES (or one longer item) after another, in one scan up to SCAN_BYTES of benchmark; the driver holds as much,
+    and where there is more, each scan's rows are written before the next. Pieces are numbered within a scan.
+    Time and memory of a task grow in proportion to its longest text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("k"), F.col(item_text).alias("t")).where("k is not null and t is not null")
     schema = "id long, item_id long, piece long, start long, end long, edits long"
     out: list[DataFrame] = []
+    passes: list[tuple[tuple[int, str], ...]] = []
     held: list[tuple[int, str]] = []
-    size = 0
+    size = total = 0
+
+    def scan() -> DataFrame:
+        """The documents searched for the passes at hand; small ones go with the tasks, more are broadcast."""
+        return rows.mapInArrow(_search(passes[0] if len(passes) == 1 else docs.sparkSession.sparkContext.broadcast(passes)), schema)
+
     for key, text in items.orderBy("k").toLocalIterator():
         n = len(text.encode())
         if held and size + n > PASS_BYTES:
-            out.append(materialize(rows.mapInArrow(_search(tuple(held)), schema), "leaks"))
+            passes.append(tuple(held))
             held, size = [], 0
+        if passes and total + n > SCAN_BYTES:
+            out.append(materialize(scan(), "leaks"))
+            passes, total = [], size
         held.append((key, text))
-        size += n
+        size, total = size + n, total + n
     if held:
-        out.append(rows.mapInArrow(_search(tuple(held)), schema))
+        passes.append(tuple(held))
+        out.append(scan())
     return reduce(DataFrame.union, out) if out else docs.sparkSession.createDataFrame([], schema)
 
 

@@ -585,8 +585,13 @@ def test_leaks_equal_all_pairs(spark, monkeypatch):
     assert sorted((r.id, r.item_id, r.piece, r.edits) for r in found) == sorted(want)
     assert next((r.start, r.end) for r in found if r.id == 1) == (1, 4)
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 150)
-    several = decontaminate.contaminated(decontaminate.leaks(df, benchmark)).collect()
-    assert {(r.id, r.item_id, r.edits) for r in several} == {(d, i, min(e for a, b, _, e in want if (a, b) == (d, i))) for d, i, _, _ in want}
+    for most, scans in ((1 << 20, 1), (300, 3)):  # several indexes in one scan, and several scans
+        monkeypatch.setattr(decontaminate, "SCAN_BYTES", most)
+        made = []
+        monkeypatch.setattr(decontaminate, "materialize", lambda df, name: made.append(name) or common.materialize(df, name))
+        several = decontaminate.contaminated(decontaminate.leaks(df, benchmark)).collect()
+        assert {(r.id, r.item_id, r.edits) for r in several} == {(d, i, min(e for a, b, _, e in want if (a, b) == (d, i))) for d, i, _, _ in want}
+        assert len(made) + 1 >= scans and (scans > 1 or not made)
 
 
 def test_leaks_of_items_that_begin_alike(spark):
@@ -621,7 +626,7 @@ def test_shared_wording_is_cheap():
 
     import pyarrow as pa
 
-    ahead = words(500, 18)
+    ahead = words(500, 18)[:90]
     bench = tuple((i, ahead + " " + words(1000 + i, 25)) for i in range(1000))
     text = " ".join(ahead + " " + words(3000 + k, 250) for k in range(100)) + " " + bench[17][1]
     batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], names=["id", "text"])
@@ -629,7 +634,9 @@ def test_shared_wording_is_cheap():
     list(search([batch]))  # the index is made once
     began = time.process_time()
     (found,) = search([batch])
-    assert set(found.column(1).to_pylist()) == {17} and time.process_time() - began < 10
+    assert time.process_time() - began < 10
+    # all hold the instruction itself; longer pieces are found of the one item whose own words stand there
+    assert {r["item_id"] for r in found.to_pylist() if r["end"] - r["start"] > 80} == {17}
 
 
 def test_banded_edits():
