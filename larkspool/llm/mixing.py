@@ -168,7 +168,11 @@ def drawn(wanted: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def slots(wanted: DataFrame, block: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """Every slot of the mix: shard, slot, source_no, block, and part, the words it takes of a block it doesn't take whole."""
+    """Every slot of the mix: shard, slot, source_no, block, and part, the words it takes of a block it doesn't take whole.
+
+    wanted holds source_no, slots, blocks, full (those of full length; all, if it isn't there), passes and rest.
+    """
+    wanted = wanted if "full" in wanted.columns else wanted.withColumn("full", F.col("blocks"))
     draws = materialize(drawn(wanted, seed), "drawn")
     n_sources = wanted.count()
     counts = draws.groupBy("source_no", "shard").agg(F.count("*").alias("n"))
