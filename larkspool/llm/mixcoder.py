@@ -17,6 +17,7 @@ TOTAL_BITS, WEIGHT_BITS = 14, 12
 SLOT_BITS = 12
 #: Weights follow the outcomes once in so many ids. They start from START outcomes of each state.
 CHUNK, START = 64, 2
+_TABLE = 1 << 17  # ids below this are ranked by a table, others by sorting
 _TOTAL = 1 << TOTAL_BITS
 _MOST = 3  # confidence of a prediction, 0 (none yet) to 3, in the low two bits of its entry
 _STATES = 4 * 4 * 2
@@ -269,6 +270,16 @@ def _read_varints(data: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127) << (7 * np.minimum(place, 8)), starts)
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and the place of each id among them: by a table where ids are small, else by sorting."""
+    most = int(ids.max())
+    if most >= _TABLE:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(most + 1, bool)
+    there[ids] = True
+    return np.flatnonzero(there).astype(ids.dtype), (np.cumsum(there, dtype=np.int32) - 1)[ids]
+
+
 def encode_ids(ids: np.ndarray) -> bytes:
     """A segment of blocks: magic, numbers of ids and of steps, lengths, checksum of the ids, their list, and code.
 
@@ -283,7 +294,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
     steps = len(blocks[0])
     lists, ranks = [], np.empty((steps, n_blocks), np.uint16)
     for i, b in enumerate(blocks):
-        distinct, place = np.unique(b, return_inverse=True)
+        distinct, place = _distinct(b)
         lists.append(distinct)
         ranks[: len(b), i] = place
         ranks[len(b) :, i] = place[-1]

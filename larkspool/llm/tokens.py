@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from .mixcoder import decode_ids, encode_ids
 SEGMENT = 16 << 20
 #: Documents for each range of the file, about.
 RANGE_ROWS = 12_000
-#: Pieces that a task remembers the ids of, and their characters; beyond that it forgets all and goes on.
+#: Pieces that a task remembers the ids of, and their characters; beyond that it keeps those seen again, or none, and goes on.
 PIECES, PIECE_CHARS = 300_000, 16 << 20
+#: Pieces that go through the library as one text.
+TOGETHER = 256
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WIDE = re.compile(r"\s\s")
 
@@ -51,8 +54,8 @@ class _Known(dict):
 class Encoder:
     """Ids of whole texts by a tokenizer of the tokenizers library.
 
-    Texts are cut where the tokenizer starts anew in any case, and each different piece goes through it once;
-    where cuts are not safe, texts go through it whole.
+    Texts are cut where the tokenizer starts anew in any case, and each different piece goes through it once,
+    together with others; where cuts are not safe, texts go through it whole.
     """
 
     def __init__(self, path: str):
@@ -60,17 +63,77 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = _cuts_are_safe(self.tokenizer)
-        self._forget()
-
-    def _forget(self) -> None:
         self.new: list[str] = []
         self.count, self.chars = [0], 0
         self.first, self.later = _Known("", self.new, self.count), _Known(" ", self.new, self.count)
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        #: By number: where a piece's ids begin, how many they are, and how often it was seen.
+        self.ids, self.starts, self.sizes, self.seen = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Forget the pieces seen once; all of them where that leaves more than half of what may be remembered."""
+        again = self.seen > 1
+        chars = sum(len(p) + len(d.lead) for d in (self.first, self.later) for p, n in d.items() if again[n])
+        if 2 * np.count_nonzero(again) > PIECES or 2 * chars > PIECE_CHARS:
+            again[:], chars = False, 0
+        number = np.cumsum(again) - 1
+        for known in (self.first, self.later):
+            kept = {p: int(number[n]) for p, n in known.items() if again[n]}
+            known.clear()
+            known.update(kept)
+        self.count[0], self.chars = int(np.count_nonzero(again)), chars
+        starts, self.sizes = self.starts[again], self.sizes[again]
+        self.seen = np.zeros(self.count[0], np.int64)
+        self.ids, self.starts = _runs(self.ids, starts, self.sizes)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @cached_property
+    def _token_bytes(self) -> np.ndarray:
+        """UTF-8 bytes that each id stands for: one for each character of a byte-level token, added ones as they are."""
+        known = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = np.zeros(max(known.values(), default=0) + 1, np.int64)
+        for token, n in known.items():
+            out[n] = len(token)
+        for n, t in self.tokenizer.get_added_tokens_decoder().items():
+            out[n] = len(t.content.encode())
+        return out
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces that begin with a lone space and end in none, end to end, and the number of each.
+
+        The tokenizer starts anew at each of them, so bytes tell where; None if the ids don't stand for all bytes.
+        """
+        ids = np.concatenate([np.zeros(0, np.uint32), *self._whole(["".join(pieces[a : a + TOGETHER]) for a in range(0, len(pieces), TOGETHER)])])
+        at = np.append(0, np.cumsum(self._token_bytes[ids]))
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
+        past = np.searchsorted(at, ends)
+        if at[-1] != ends[-1] or (at[past] != ends).any():
+            return None
+        return ids, np.diff(past, prepend=0)
+
+    def _learn(self) -> None:
+        """Ids of the new pieces."""
+        joins = np.array([len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() for p in self.new])
+        sizes = np.zeros(len(self.new), np.int64)
+        found = [self.ids]
+        if joins.any() and (shared := self._together([self.new[i] for i in np.flatnonzero(joins)])):
+            found.append(shared[0])
+            sizes[joins] = shared[1]
+        else:
+            joins[:] = False
+        rest = np.flatnonzero(~joins)
+        alone = self._whole([self.new[i] for i in rest])
+        sizes[rest] = [len(x) for x in alone]
+        order = np.concatenate([np.flatnonzero(joins), rest])
+        starts = np.empty(len(order), np.int64)
+        starts[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
+        self.ids = np.concatenate([*found, *alone])
+        self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
+        self.seen = np.append(self.seen, np.zeros(len(order), np.int64))
+        self.chars += sum(map(len, self.new))
+        self.new.clear()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts laid end to end, and the number of each."""
         if not self.cut:
@@ -85,16 +148,18 @@ class Encoder:
             numbers.append(self.first[pieces[0]])
             numbers += map(self.later.__getitem__, pieces[1:])
         if self.new:
-            found = self._whole(self.new)
-            self.chars += sum(map(len, self.new))
-            self.ids = np.concatenate([self.ids, *found])
-            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(x) for x in found]))
-            self.new.clear()
+            self._learn()
         at = np.array(numbers, np.int64)
-        lengths = self.ends[at + 1] - self.ends[at]
-        ends = np.cumsum(lengths)
-        out = self.ids[np.arange(int(lengths.sum())) + np.repeat(self.ends[at] - (ends - lengths), lengths)]
-        return out, np.diff(np.append(0, ends)[np.append(0, np.cumsum(sizes))])
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        lengths = self.sizes[at]
+        out, _ = _runs(self.ids, self.starts[at], lengths)
+        return out, np.diff(np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes))])
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values laid end to end, and where each begins then."""
+    begins = np.cumsum(sizes) - sizes
+    return values[np.arange(int(sizes.sum())) + np.repeat(starts - begins, sizes)], begins
 
 
 def _writer(tokenizer_path: str, end_id: int):

@@ -479,6 +479,39 @@ def test_pieces_give_the_ids_of_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in texts[:9]]
 
 
+def test_pieces_go_together_and_frequent_ones_are_kept(monkeypatch):
+    """New pieces share a text, those seen again outlast forgetting, and ids stay those of whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+    asked: list[str] = []
+    ask = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: asked.extend(texts) or ask(texts))
+
+    def check(texts):
+        ids, n = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+    common = [f"w{i}é" for i in range(200)]
+    check([" ".join(["x", *common, *common, *(f"q{i}日" for i in range(5000))])])
+    assert len(asked) < 30
+    monkeypatch.setattr(tokens, "PIECES", 1000)
+    asked.clear()
+    check([" ".join(["x", *common, "fresh"])])
+    assert sorted(t.strip() for t in asked) == ["fresh", "x"] and encoder.count[0] == 202
+    # a frequent set that is too large is forgotten as well
+    monkeypatch.setattr(tokens, "PIECES", 100)
+    check([" ".join(["x", *common])])
+    assert encoder.count[0] == 201
+    # ids that don't stand for all bytes: each piece by itself
+    encoder._token_bytes = np.zeros(1 << 17, np.int64)
+    asked.clear()
+    check(["x new words  here <|endoftext|> and there"])
+    assert len(asked) > 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 4096, 9000])
 def test_range_coder(n):
     rng = np.random.default_rng(n)
