@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ LENGTH, GRAM = 200, 50
 _REACH = LENGTH - GRAM
 #: Starts of the strings around an anchor are split into this many classes.
 CLASSES = 4
-#: Strings of one group that one suffix array holds, at most; and bytes after which a suffix array is built.
+#: Strings of one group that one suffix array holds, at most; and symbols after which a suffix array is built.
 GROUP, CHUNK = 256, 1 << 14
+#: Bytes of texts whose anchors are looked for at once: their arrays of 64-bit numbers stay near the processor.
+SLICE = 1 << 17
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -102,42 +105,42 @@ def suffix_array(text: list[int]) -> list[int]:
     return array[1:]
 
 
-def repeated_windows(strings: list[bytes], groups: list[int], leads: list[int]) -> list[np.ndarray]:
+def repeated_windows(strings: list[bytes], groups: list[int], leads: list[int], cores: list[tuple[int, int]]) -> list[np.ndarray]:
     """For each string, whether each of its windows of LENGTH bytes stands as far from the anchor in another string of its group.
 
-    All strings lie in one suffix array, apart by a smaller symbol; equal windows are neighbours in it.
+    Every window of a string holds its core, from one byte to before another, which lies alike in windows that are as
+    far from the anchor. So a core is one symbol, the same for the same bytes. All strings lie in one suffix array,
+    apart by a smaller symbol; equal windows are neighbours in it.
     """
-    flat = np.concatenate([np.append(np.frombuffer(x, np.uint8).astype(np.int64) + 2, 1) for x in strings])
+    names: dict[bytes, int] = {}
+    symbols = [258 + names.setdefault(x[a:b], len(names)) for x, (a, b) in zip(strings, cores, strict=True)]
+    flat = np.frombuffer(b"".join([x[:a] + b"\0" + x[b:] + b"\0" for x, (a, b) in zip(strings, cores, strict=True)]), np.uint8).astype(np.int64) + 2
+    inside = np.array(cores, np.int64).reshape(-1, 2)
+    widths = LENGTH + 1 - (inside[:, 1] - inside[:, 0])
+    windows = np.array([len(x) for x in strings]) - LENGTH + 1
+    ends = np.cumsum(windows + widths)
+    starts = ends - (windows + widths)
+    flat[ends - 1], flat[starts + inside[:, 0]] = 1, symbols
     sa = np.array(suffix_array(flat.tolist()), np.int64)
-    lengths = np.array([len(x) for x in strings])
-    starts = np.cumsum(lengths + 1) - (lengths + 1)
-    owner = np.repeat(np.arange(len(strings)), lengths + 1)
+    owner = np.repeat(np.arange(len(strings)), windows + widths)
     offset = np.arange(len(flat)) - starts[owner]
-    whole = offset + LENGTH <= lengths[owner]
-    sa = sa[whole[sa]]
-    marks = [np.zeros(max(0, len(x) - LENGTH + 1), bool) for x in strings]
-    if len(sa) < 2:
-        return marks
-    data = flat.astype(np.uint8)
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_KEYS[data] * power[: len(data)], out=sums[1:])
-    key = (sums[sa + LENGTH] - sums[sa]) * inverse[sa]
-    alike = np.flatnonzero(key[1:] == key[:-1])
-    for i in alike[[data[sa[i] : sa[i] + LENGTH].tobytes() != data[sa[i + 1] : sa[i + 1] + LENGTH].tobytes() for i in alike]] if len(alike) else ():
-        key[i + 1 :] ^= np.uint64(i + 1)  # a chance collision: different windows get different keys
-    run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-    group = np.array(groups)[owner[sa]]
-    lead = offset[sa] - np.array(leads)[owner[sa]]
-    order = np.lexsort((lead, group, run))
-    r, g, d = run[order], group[order], lead[order]
-    same = (r[1:] == r[:-1]) & (g[1:] == g[:-1]) & (d[1:] == d[:-1])
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    for p in sa[order[twice]].tolist():
-        marks[owner[p]][offset[p]] = True
-    return marks
+    sa = sa[(offset < windows[owner])[sa]]
+    marked = np.zeros(len(flat), bool)
+    if len(sa) > 1:
+        steps = np.arange(widths.max())
+        held = np.append(flat, np.zeros(len(steps), np.int64))[sa[:, None] + steps]
+        held[steps >= widths[owner[sa]][:, None]] = 0
+        run = np.concatenate([[0], np.cumsum((held[1:] != held[:-1]).any(axis=1))])
+        group = np.array(groups)[owner[sa]]
+        lead = offset[sa] - np.array(leads)[owner[sa]]
+        order = np.lexsort((lead, group, run))
+        r, g, d = run[order], group[order], lead[order]
+        same = (r[1:] == r[:-1]) & (g[1:] == g[:-1]) & (d[1:] == d[:-1])
+        twice = np.zeros(len(order), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        marked[sa[order[twice]]] = True
+    return [marked[x : x + n] for x, n in zip(starts.tolist(), windows.tolist(), strict=True)]
 
 
 # ---------------------------------------------------------------- anchors
@@ -182,7 +185,7 @@ def _anchors(batches):
 
     A context is what the strings cover whose first smallest gram the anchor is: back bytes before it, ahead from it on."""
     for batch in batches:
-        for a, _, data, offsets in text_slices(batch.column(1)):
+        for a, _, data, offsets in text_slices(batch.column(1), SLICE):
             n = len(data)
             if n < LENGTH:
                 continue
@@ -221,6 +224,13 @@ def _class_bounds(back: int, ahead: int):
             yield c, lo, hi
 
 
+def _core(lo: int, hi: int) -> tuple[int, int]:
+    """Where what all strings of the class share lies in a string that covers distances lo to hi."""
+    step = -(-(_REACH + 1) // CLASSES)
+    c = lo // step
+    return hi - c * step, LENGTH + hi - min((c + 1) * step - 1, _REACH)
+
+
 def _classes(with_strings: bool):
     """Classes of contexts, from (doc, text, contexts): the hash of what all strings of the class share, and of all they cover."""
 
@@ -264,7 +274,8 @@ def _search(batches):
         nonlocal held, size
         names = sorted({(r["key"], r["part"]) for r in held})
         number = {k: i for i, k in enumerate(names)}
-        marks = repeated_windows([r["string"] for r in held], [number[r["key"], r["part"]] for r in held], [r["hi"] for r in held])
+        cores = [_core(r["lo"], r["hi"]) for r in held]
+        marks = repeated_windows([r["string"] for r in held], [number[r["key"], r["part"]] for r in held], [r["hi"] for r in held], cores)
         out = []
         settled: set[tuple[bytes, int]] = set()
         for r, m in zip(held, marks, strict=True):
@@ -288,33 +299,41 @@ def _search(batches):
             if held and size >= CHUNK and (r["key"], r["part"]) != (held[-1]["key"], held[-1]["part"]):
                 yield flush()
             held.append(r)
-            size += len(r["string"])
+            a, b = _core(r["lo"], r["hi"])
+            size += len(r["string"]) - (b - a) + 1
     if held:
         yield flush()
 
 
+def _runs(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs that spans of documents cover, in order: the document's number, and first and past-the-end byte."""
+    if not len(doc):
+        return doc, a, b
+    order = np.lexsort((a, doc))
+    doc, shift = doc[order], doc[order] * (int(b.max()) + 1)
+    begin, end = a[order] + shift, np.maximum.accumulate(b[order] + shift)
+    first = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], begin[first] - shift[first], end[last] - shift[last]
+
+
 def _removed(batches):
     for batch in batches:
-        spans = batch.column(2).to_pylist()
-        texts = batch.column(1).to_pylist()
-        out = []
-        for text, own in zip(texts, spans, strict=True):
-            data = (text or "").encode()
-            runs: list[list[int]] = []
-            for a, b in sorted((s["a"], s["b"]) for s in own or ()):
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], b)
-                else:
-                    runs.append([a, b])
-            kept, at = [], 0
-            for a, b in runs:
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            out.append((len(data), sum(b - a for a, b in runs), runs, hashlib.sha256(b"".join(kept)).hexdigest()))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "n_bytes", "n_removed", "runs", "kept_sha256"])
+        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        lists = batch.column(2)
+        spans = pc.list_flatten(lists)
+        doc, a, b = _runs(*(np.asarray(x).astype(np.int64) for x in (pc.list_parent_indices(lists), pc.struct_field(spans, "a"), pc.struct_field(spans, "b"))))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        removed = np.zeros(len(texts), np.int64)
+        np.add.at(removed, doc, b - a)
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+        begins, ends, digests = a.tolist(), b.tolist(), []
+        for text, x, y in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            kept = b"".join([text[i:j] for i, j in zip([0, *ends[x:y]], [*begins[x:y], len(text)], strict=True)]) if y > x else text
+            digests.append(hashlib.sha256(kept).hexdigest())
+        pairs = pa.ListArray.from_arrays(pa.array(2 * np.arange(len(a) + 1), pa.int32()), pa.array(np.stack([a, b], axis=1).ravel(), pa.int64()))
+        runs = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(removed), runs, pa.array(digests, pa.string())], names=["id", "n_bytes", "n_removed", "runs", "kept_sha256"])
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:

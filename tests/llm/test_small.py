@@ -6,6 +6,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +311,54 @@ def test_substrings(spark, odd, none, group, monkeypatch):
         assert whole[7].n_removed == whole[7].n_bytes > 100_000 and whole[1].n_removed == 0 and whole[None].n_removed == 0
 
 
+def test_strings_of_a_class_are_searched_without_what_they_share(monkeypatch):
+    """Suffix arrays take what all strings of a class share as one symbol; windows found are those of comparing all."""
+    rng = np.random.default_rng(4)
+    sizes = []
+    build = substrings.suffix_array
+    monkeypatch.setattr(substrings, "suffix_array", lambda text: sizes.append(len(text)) or build(text))
+    rows, want = [], set()
+    for key in range(60):
+        c = int(rng.integers(0, 4))
+        first, last = c * 38, min(c * 38 + 37, 150)
+        # around byte 0, the anchor: few different bytes away from it, the same for all in what they share
+        shared = rng.integers(97, 123, 400)
+        kinds = [np.where(rng.random(400) < 0.01, 200, shared) for _ in range(5)]
+        for k in kinds:
+            k[200 - first : 400 - last] = shared[200 - first : 400 - last]
+        seen, own = {}, []
+        for i, k in enumerate(kinds):
+            lo, hi = int(rng.integers(first, first + 6)), int(rng.integers(last - 6, last + 1))
+            text = k.astype(np.uint8).tobytes()
+            own.append((i, lo, hi, text))
+            for d in range(lo, hi + 1):
+                seen.setdefault((d, text[200 - d : 400 - d]), []).append(i)
+        want |= {(key, i, d) for (d, _), owners in seen.items() if len(owners) > 1 for i in owners}
+        rows += [{"key": key, "part": 0, "parts": 1, "full": i, "h": key, "cid": i, "lo": lo, "hi": hi, "string": text[200 - hi : 400 - lo]} for i, lo, hi, text in own]
+    found = substrings._search(pa.RecordBatch.from_pylist(rows[a : a + 100]) for a in range(0, len(rows), 100))
+    got = [(r["h"], r["cid"], d) for out in found for r in out.to_pylist() for d in range(r["lo"], r["hi"] + 1)]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < sum(r["hi"] - r["lo"] + 1 for r in rows)
+    assert sum(sizes) <= 76 * len(rows)
+
+
+def test_removed_runs():
+    """Spans in any order, nested, touching and apart; texts without spans, null and of several bytes a character."""
+    rng = np.random.default_rng(8)
+    texts = [None, "", "é" * 40] + [words(i, 30) for i in range(40)]
+    spans = [None, [], None] + [[{"a": int(a), "b": int(a + n)} for a, n in zip(rng.integers(0, 60, k), rng.integers(1, 25, k), strict=True)] for k in rng.integers(0, 6, 40)]
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(-2, 43)), pa.array(["x", "y", *texts]), pa.array([[{"a": 0, "b": 1}], None, *spans], kind)], names=["id", "text", "spans"])
+    (out,) = substrings._removed([batch.slice(2)])
+    for t, own, r in zip(texts, spans, out.to_pylist(), strict=True):
+        data = (t or "").encode()
+        on = np.zeros(len(data) + 1, bool)
+        for x in own or ():
+            on[x["a"] : x["b"]] = True
+        edges = np.flatnonzero(np.diff(np.append(False, on).astype(np.int8)))
+        assert r["runs"] == edges.reshape(-1, 2).tolist() and (r["n_bytes"], r["n_removed"]) == (len(data), on.sum())
+        assert r["kept_sha256"] == hashlib.sha256(bytes(b for b, o in zip(data, on) if not o)).hexdigest()
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(300):
