@@ -145,12 +145,15 @@ class TreeEncoder(Encoder):
         self.matches = regex.compile(pattern).findall
         self.tree = Tree(read_ranks(path))
         self.cut = lone_space_begins
-        self._forget()
+        self._start()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         match = self.tree.match
         return [np.array([i for m in self.matches(t) for i in match(m.encode())], np.uint32) for t in texts]
 
+    def _together(self, pieces: list[str]) -> None:
+        """Each piece by itself: a tree gains nothing by longer texts, and bytes that no match covers have no ids."""
+
 
 def encode(docs: DataFrame, path: str, pattern: str, lone_space_begins: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of every whole text by a vocabulary of ranks, no special tokens; what no match covers has no ids.

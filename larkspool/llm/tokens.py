@@ -63,6 +63,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = _cuts_are_safe(self.tokenizer)
+        self._start()
+
+    def _start(self) -> None:
+        """No piece is known."""
         self.new: list[str] = []
         self.count, self.chars = [0], 0
         self.first, self.later = _Known("", self.new, self.count), _Known(" ", self.new, self.count)
