@@ -17,41 +17,62 @@ TOTAL_BITS, WEIGHT_BITS = 14, 12
 SLOT_BITS = 12
 #: Weights follow the outcomes once in so many ids. They start from START outcomes of each state.
 CHUNK, START = 64, 2
+#: Blocks that are encoded side by side, at most; all of a segment are decoded so.
+ENCODED_LANES = 512
 _TABLE = 1 << 17  # ids below this are ranked by a table, others by sorting
 _TOTAL = 1 << TOTAL_BITS
 _MOST = 3  # confidence of a prediction, 0 (none yet) to 3, in the low two bits of its entry
 _STATES = 4 * 4 * 2
 _LEAST = np.int64(1 << 31)  # a range below this takes in a word of 32 bits; ranges stay below 2**63
 _WINDOW = np.int64((1 << 63) - 1)
+# Operands as arrays of the other side's type: NumPy spends as long on finding the type of a number as on a step of all lanes.
+_LEAST_ARRAY, _WINDOW_ARRAY = np.array(_LEAST), np.array(_WINDOW)
+_UNIT, _SIGN, _WORD, _FIVE = (np.array(x, np.int64) for x in (TOTAL_BITS + WEIGHT_BITS, 63, 32, 5))
+_ZERO, _ONE, _TWO, _TRUST = (np.array(x, np.int32) for x in (0, 1, 2, _MOST))
+_SLOT_FACTOR, _SLOT_MASK = np.array(40503, np.uint16), np.array((1 << SLOT_BITS) - 1, np.uint16)
+_SLOT_FACTOR_WIDE, _SLOT_MASK_WIDE = _SLOT_FACTOR.astype(np.int64), _SLOT_MASK.astype(np.int64)
+_SPLIT, _MASKS, _TOP = np.array([[TOTAL_BITS + 1], [0]], np.int32), np.array([[-1], [(2 << TOTAL_BITS) - 1]], np.int32), np.array(31, np.uint32)
 
 
 class _Encoder:
-    """A range coder in every lane; carries run back into words that are out already."""
+    """A range coder in every lane. Steps go to it in chunks, and what they give out is put in place after each."""
 
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _WINDOW)
         self.words = np.zeros((lanes, steps + 4), np.uint32)
-        self.n = np.zeros(lanes, np.int64)
+        self.n = np.zeros(lanes, np.int32)
 
     def narrow(self, before: np.ndarray, width: np.ndarray) -> None:
-        unit = self.range >> (TOTAL_BITS + WEIGHT_BITS)
-        low = self.low + before * unit  # below 2**64: the sign bit is the carry
-        self.range = width * unit
-        if low.min() < 0:
-            over = np.flatnonzero(low < 0)
-            low[over] &= _WINDOW
-            at = self.n[over] - 1
-            while over.size:
-                self.words[over, at] += np.uint32(1)
-                more = self.words[over, at] == 0
-                over, at = over[more], at[more] - 1
-        out = np.flatnonzero(self.range < _LEAST)
-        if out.size:
-            self.words[out, self.n[out]] = low[out] >> 31
-            self.n[out] += 1
-            low[out] = (low[out] & (_LEAST - 1)) << 32
-            self.range[out] <<= 32
-        self.low = low
+        """Steps of all lanes: (steps, lanes)."""
+        lows, full = np.empty(before.shape, np.int64), np.empty(before.shape, bool)
+        unit, shift = np.empty_like(self.low), np.empty_like(self.low)
+        low, span = self.low, self.range
+        for b, w, reached, out in zip(before, width, lows, full, strict=True):
+            np.right_shift(span, _UNIT, unit)
+            np.multiply(b, unit, reached)
+            np.add(reached, low, reached)  # below 2**64: the sign bit is the carry
+            np.multiply(w, unit, span)
+            np.less(span, _LEAST_ARRAY, out)
+            np.copyto(shift, out)
+            np.left_shift(shift, _FIVE, shift)
+            np.left_shift(span, shift, span)
+            np.left_shift(reached, shift, low)
+            np.bitwise_and(low, _WINDOW_ARRAY, low)
+        self._put(lows, full)
+
+    def _put(self, lows: np.ndarray, full: np.ndarray) -> None:
+        """Append the words of lanes whose range was too small, and run carries back into words that are out already."""
+        past = np.cumsum(full, axis=0, dtype=np.int32)
+        past += self.n
+        out = np.flatnonzero(full)
+        self.words[out % len(self.n), past.ravel()[out] - 1] = (lows.ravel()[out] & _WINDOW) >> 31
+        over = np.flatnonzero(lows < 0)
+        lane, at = over % len(self.n), past.ravel()[over] - full.ravel()[over] - 1
+        while lane.size:
+            np.add.at(self.words, (lane, at), np.uint32(1))
+            more = self.words[lane, at] == 0
+            lane, at = lane[more], at[more] - 1
+        self.n = past[-1].copy()
 
     def codes(self) -> list[bytes]:
         rows = np.arange(len(self.low))
@@ -64,35 +85,65 @@ class _Decoder:
     """Reads what _Encoder writes: the code less the low end of the range, which is never needed by itself."""
 
     def __init__(self, codes: list[bytes]):
-        width = max(len(c) for c in codes) // 4 + 2
-        words = np.zeros((len(codes), width), np.int64)
+        lanes, width = len(codes), max(len(c) for c in codes) // 4 + 2
+        words = np.zeros((lanes, width), np.int64)
         for i, c in enumerate(codes):
             w = np.frombuffer(c[: len(c) // 4 * 4], ">u4")
             words[i, : len(w)] = w
         # the window holds 63 bits, so each word that follows comes one bit late
-        self.code = (words[:, 0] << 31) | (words[:, 1] >> 1)
+        self.both = np.stack([(words[:, 0] << 31) | (words[:, 1] >> 1), np.full(lanes, _WINDOW)])
+        self.code, self.range = self.both
         self.late = (((words[:, 1:-1] & 1) << 31) | (words[:, 2:] >> 1)).ravel()
-        self.at = np.arange(len(codes)) * (width - 2)
-        self.last = self.at + width - 3
-        self.range = np.full(len(codes), _WINDOW)
+        self.at = np.arange(lanes) * (width - 2)
+        self.unit, self.place, self.full, self.shift = (np.empty(lanes, np.int64) for _ in range(4))
 
     def aim(self) -> np.ndarray:
-        self.unit = self.range >> (TOTAL_BITS + WEIGHT_BITS)
-        return self.code // self.unit
-
-    def narrow(self, before: np.ndarray, width: np.ndarray) -> None:
-        self.code -= before * self.unit
-        self.range = width * self.unit
-        more = np.flatnonzero(self.range < _LEAST)
-        if more.size:
-            at = self.at[more]
-            self.code[more] = ((self.code[more] << 32) | self.late[np.minimum(at, self.last[more])]) & _WINDOW
-            self.at[more] = at + 1
-            self.range[more] <<= 32
+        np.right_shift(self.range, _UNIT, self.unit)
+        return np.floor_divide(self.code, self.unit, self.place)
+
+    def narrow(self, shares: np.ndarray) -> None:
+        """Range before the ids of one step, and of them: (2, lanes)."""
+        code, span, full, place = self.code, self.range, self.full, self.place
+        np.multiply(shares, self.unit, shares)
+        np.subtract(code, shares[0], code)
+        np.copyto(span, shares[1])
+        # all ones in lanes that take in a word
+        np.subtract(span, _LEAST_ARRAY, full)
+        np.right_shift(full, _SIGN, full)
+        np.bitwise_and(full, _WORD, self.shift)
+        np.left_shift(self.both, self.shift, self.both)
+        self.late.take(self.at, out=place, mode="clip")
+        np.bitwise_and(place, full, place)
+        np.bitwise_or(code, place, code)
+        np.bitwise_and(code, _WINDOW_ARRAY, code)
+        np.subtract(self.at, full, self.at)
+
+
+def _slots(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where order 2 keeps what follows two ids. Products of 16 bits do, as more than SLOT_BITS of them are dropped."""
+    return (before * _SLOT_FACTOR + last) & _SLOT_MASK
+
+
+def _predicted(found: np.ndarray, slots: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a context in these slots predicts at each step of a lane, and its confidence, when found[t] follows slots[t].
+
+    A slot predicts the id that followed it last (``none`` at first), with a confidence of 1, or more if it was right
+    the last time or two. Sorting by slot puts what follows it side by side.
+    """
+    order = np.argsort(slots, kind="stable")
+    names, first = found[order], np.diff(slots[order], prepend=slots[order[:1]]) != 0
+    first[0] = True
+    guess = np.where(first, np.uint16(none), np.roll(names, 1))
+    right = np.zeros(len(found) + 2, np.uint8)
+    np.equal(guess, names, out=right[2:].view(bool))
+    trust = (1 + right[1:-1] + (right[1:-1] & right[:-2])) * ~first
+    guesses, trusts = np.empty_like(guess), np.empty_like(trust)
+    guesses[order], trusts[order] = guess, trust
+    return guesses, trusts
 
 
 class _Contexts:
-    """Predictions of order 1 and 2 in every lane: the id that followed the context last, and how often in a row.
+    """Predictions of order 1 and 2 in every lane, step by step: the id that followed the context last, and how often in a row.
 
     Arrays hold order 1 in row 0 and order 2 in row 1. An entry is name * 4 + confidence; any names will do that
     differ for the ids of a block. Without confidence it bears the name ``none``, which no id has.
@@ -103,21 +154,37 @@ class _Contexts:
         self.table = np.full(lanes * (width + (1 << SLOT_BITS)), none << 2, np.int32)
         self.slots = self.base.copy()
         self.last = np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Names predicted by order 1 and 2, and the state that chooses weights: both confidences, and whether the names agree."""
-        entry = self.table.take(self.slots)
-        guess = entry >> 2
-        self.trust = entry & _MOST
-        state = (self.trust[1] << 3) + (self.trust[0] << 1)
-        state += guess[0] == guess[1]
-        return guess, state
+        self.entry, self.guess, self.trust, self.next, self.parts = (np.empty((2, lanes), np.int32) for _ in range(5))
+        self.scale = np.repeat(np.array([[2], [8]], np.int32), lanes, axis=1)
+        self.name, self.same = np.empty(lanes, np.int32), np.empty(lanes, bool)
+
+    def predict(self, state: np.ndarray) -> np.ndarray:
+        """Names predicted by order 1 and 2; the state that chooses weights is put out: both confidences, and whether the names agree."""
+        guess, parts = self.guess, self.parts
+        self.table.take(self.slots, out=self.entry, mode="clip")
+        np.right_shift(self.entry, _TWO, guess)
+        np.bitwise_and(self.entry, _TRUST, self.trust)
+        np.multiply(self.trust, self.scale, parts)
+        np.add(parts[0], parts[1], state)
+        np.equal(guess[0], guess[1], self.same)
+        np.add(state, self.same, state)
+        return guess
 
     def learn(self, found: np.ndarray, name: np.ndarray, hit: np.ndarray) -> None:
-        self.table[self.slots] = (name << 2) + 1 + np.minimum(self.trust, _MOST - 1) * hit
-        np.add(self.base[0], found, out=self.slots[0])
-        np.add(self.base[1], (self.last * 40503 + found) & ((1 << SLOT_BITS) - 1), out=self.slots[1])
-        self.last = found
+        """The id that came: its rank, its name, and 1 for each order that predicted it."""
+        entry, slots, slot = self.next, self.slots, self.last
+        np.minimum(self.trust, _TWO, entry)
+        np.multiply(entry, hit, entry)
+        np.left_shift(name, _TWO, self.name)
+        np.add(self.name, _ONE, self.name)
+        np.add(entry, self.name, entry)
+        self.table[slots] = entry
+        np.add(self.base[0], found, slots[0])
+        np.multiply(slot, _SLOT_FACTOR_WIDE, slot)
+        np.add(slot, found, slot)
+        np.bitwise_and(slot, _SLOT_MASK_WIDE, slot)
+        np.add(self.base[1], slot, slots[1])
+        np.copyto(slot, found)
 
 
 class _Weights:
@@ -131,29 +198,43 @@ class _Weights:
                     hit2 = two / (two + 1)
                     hit1 = 0.0 if same and two else (1 - hit2) * one / (one + 4)
                     first[two, one, same] = hit1, hit2, 1 - hit1 - hit2
-        self.counts = np.tile(np.maximum(np.round(first * START * 64), [0, 0, 1]).astype(np.int64).reshape(_STATES, 3), (lanes, 1))
+        counts = np.maximum(np.round(first * START * 64), [0, 0, 1]).astype(np.int64).reshape(_STATES, 3)
+        self.counts = np.tile(counts.T, (lanes, 1, 1))  # lane, order, state
         self.base = np.arange(lanes) * _STATES
+        self.table = np.empty((3, lanes * _STATES), np.int32)
+        self.at, self.found = np.empty(lanes, np.int64), np.empty((3, lanes), np.int32)
         self._share()
 
     def _share(self) -> None:
-        # parts of 2**WEIGHT_BITS, rounded down: order 0 keeps one at least
-        parts = (self.counts[:, :2] << WEIGHT_BITS) // self.counts.sum(axis=1)[:, None]
-        self.table = (parts[:, 0] << WEIGHT_BITS) + parts[:, 1]
-
-    def of(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ranges of order 1 and of order 2, and the weight of order 0, for states of all lanes and any number of steps."""
-        both = self.table.take(self.base + state)
-        one, two = both >> WEIGHT_BITS, both & ((1 << WEIGHT_BITS) - 1)
-        return one << TOTAL_BITS, two << TOTAL_BITS, (1 << WEIGHT_BITS) - one - two
-
-    def learn(self, states: np.ndarray, hits: np.ndarray) -> None:
-        """States and hits of some steps: (steps, lanes) and (steps, 2, lanes)."""
-        which = np.where(hits[:, 1], 1, 2 - 2 * hits[:, 0])
-        seen = np.bincount(((self.base + states) * 3 + which).ravel(), minlength=self.counts.size)
-        self.counts += 64 * seen.reshape(self.counts.shape)
+        # parts of 2**WEIGHT_BITS, rounded down: order 0 keeps one at least; quotients of numbers so small are exact below the point
+        one, two, rest = (self.counts[:, k] for k in range(3))
+        parts = ((self.counts[:, :2] << WEIGHT_BITS) / (one + two + rest)[:, None]).astype(np.int32)
+        for k in range(2):
+            np.left_shift(parts[:, k], TOTAL_BITS, out=self.table[k].reshape(-1, _STATES))
+        np.subtract((1 << WEIGHT_BITS) - parts[:, 0], parts[:, 1], out=self.table[2].reshape(-1, _STATES))
+
+    def of(self, state: np.ndarray) -> np.ndarray:
+        """Ranges of order 1 and of order 2, and the weight of order 0, for states of all lanes: (3, lanes)."""
+        np.add(self.base, state, self.at)
+        return self.table.take(self.at, axis=1, out=self.found, mode="clip")
+
+    def of_many(self, states: np.ndarray) -> list[np.ndarray]:
+        """The same for states of some steps: three of (lanes, steps)."""
+        at = self.base[:, None] + states
+        return [t.take(at, mode="clip") for t in self.table]
+
+    def learn(self, outcomes: np.ndarray) -> None:
+        """Outcomes of some steps, (lanes, steps)."""
+        seen = np.bincount((self.base[:, None] * 3 + outcomes).ravel(), minlength=self.counts.size)
+        self.counts += (seen << 6).reshape(self.counts.shape)
         self._share()
 
 
+def _outcomes(states: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> np.ndarray:
+    """The state of a step, and which order came true: none is added for order 1, _STATES for order 2 and twice as much for order 0."""
+    return states + np.uint8(_STATES) * np.where(hit2, np.uint8(1), np.uint8(2) - np.uint8(2) * hit1)
+
+
 def scaled(counts: np.ndarray) -> np.ndarray:
     """Counts as parts of 2**TOTAL_BITS, each 1 at least; what rounding leaves goes to the most frequent."""
     parts = 1 + counts.astype(np.int64) * (_TOTAL - len(counts)) // max(1, int(counts.sum()))
@@ -166,62 +247,92 @@ class _Mixer:
     of the whole of each order that predicts it; ids follow each other in order, so shares before it add up."""
 
     def __init__(self, parts: list[np.ndarray], width: int):
-        self.base = np.arange(len(parts)) * width
-        both = np.zeros((len(parts), width), np.int32)
+        lanes = len(parts)
+        self.base = np.arange(lanes) * width
+        both = np.zeros((lanes, width), np.int32)
         for i, p in enumerate(parts):
             both[i, : len(p)] = ((np.cumsum(p) - p) << (TOTAL_BITS + 1)) + p
         self.both = both.ravel()
-
-    def order0(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order-0 parts before ids, which name them, and of them."""
-        both = self.both.take(self.base + found)
-        return both >> (TOTAL_BITS + 1), both & ((2 << TOTAL_BITS) - 1)
-
-    @staticmethod
-    def locate(aim, guess, one, two, q0) -> np.ndarray:
-        """The order-0 place that aim stands for: the ranges of predictions before it are taken off. guess names ids by their places."""
-        past1, past2 = aim - q0 * guess
-        past2 -= one * (guess[0] < guess[1])
-        past1 -= two * (guess[1] < guess[0])
-        np.minimum(np.maximum(past1, 0, out=past1), one, out=past1)
-        np.minimum(np.maximum(past2, 0, out=past2), two, out=past2)
-        return (aim - past1 - past2) // q0
-
-    @staticmethod
-    def share(before, own, guess1, guess2, name, one, two, q0) -> tuple[np.ndarray, np.ndarray]:
-        """Range before ids and of them, for one step or many."""
-        low = q0 * before + one * (guess1 < name) + two * (guess2 < name)
-        return low, q0 * own + one * (guess1 == name) + two * (guess2 == name)
+        self.starts = np.arange(lanes) * float(_TOTAL)
+        self.place, self.quotient, self.aim, self.found = np.empty(lanes, np.int64), np.empty(lanes), np.empty(lanes, np.int32), np.empty(lanes, np.int32)
+        self.past, self.behind, self.own = (np.empty((2, lanes), np.int32) for _ in range(3))
+        #: Whether each order's guess comes before the id, and whether it is the id; and that times the order's range.
+        self.told, self.parts = np.empty((2, 2, lanes), np.int32), np.empty((2, 2, lanes), np.int32)
+        self.shares = np.empty((2, lanes), np.int64)
+
+    def order0(self, found: np.ndarray) -> np.ndarray:
+        """Order-0 parts before ids, which name them, and of them: (2, lanes)."""
+        np.add(self.base, found, self.place)
+        self.both.take(self.place, out=self.found, mode="clip")
+        np.right_shift(self.found, _SPLIT, self.own)
+        return np.bitwise_and(self.own, _MASKS, self.own)
+
+    def locate(self, aim: np.ndarray, guess: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The order-0 place that aim stands for, counted through all lanes: the ranges of predictions before it are taken off. guess names ids by their places."""
+        past, behind, both, q0 = self.past, self.behind, weights[:2], weights[2]
+        np.copyto(self.aim, aim, casting="unsafe")
+        np.multiply(guess, q0, past)
+        np.subtract(self.aim, past, past)
+        # one where the other order's guess comes before
+        np.subtract(guess[::-1], guess, behind)
+        np.right_shift(behind.view(np.uint32), _TOP, behind.view(np.uint32))
+        np.multiply(behind, both[::-1], behind)
+        np.subtract(past, behind, past)
+        np.maximum(past, _ZERO, past)
+        np.minimum(past, both, past)
+        np.subtract(self.aim, past[0], self.aim)
+        np.subtract(self.aim, past[1], self.aim)
+        np.divide(self.aim, q0, self.quotient)
+        np.add(self.quotient, self.starts, self.quotient)
+        np.copyto(self.place, self.quotient, casting="unsafe")
+        return self.place
+
+    def share(self, own: np.ndarray, guess: np.ndarray, hits: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Range before the ids of one step, and of them, from their order-0 parts; hits is told which orders predict them."""
+        told, parts = self.told, self.parts
+        behind = told[0]
+        np.subtract(guess, own[0], behind)
+        np.equal(behind, _ZERO, hits)
+        np.right_shift(behind.view(np.uint32), _TOP, behind.view(np.uint32))
+        np.copyto(told[1], hits)
+        np.multiply(told, weights[:2], parts)
+        np.multiply(own, weights[2], self.past)
+        np.add(self.past, parts[:, 0], self.past)
+        np.add(self.past, parts[:, 1], self.past)
+        np.copyto(self.shares, self.past)
+        return self.shares
+
+    def share_many(self, found: np.ndarray, guess1: np.ndarray, guess2: np.ndarray, one: np.ndarray, two: np.ndarray, q0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Range before ids and of them for some steps, (lanes, steps), named by their ranks."""
+        both = self.both.take(self.base[:, None] + found, mode="clip")
+        low = q0 * (both >> (TOTAL_BITS + 1)) + one * (guess1 < found) + two * (guess2 < found)
+        return low, q0 * (both & ((2 << TOTAL_BITS) - 1)) + one * (guess1 == found) + two * (guess2 == found)
 
 
 def _encode_lanes(ranks: np.ndarray, width: int) -> tuple[np.ndarray, list[bytes]]:
-    """Order-0 counts and a code for each column of ranks, all of them below width.
+    """Order-0 counts and a code for each row of ranks, all of them below width.
 
     An id counts for order 0 where neither order 1 nor order 2 predicts it, and each id of a block does so once.
     """
-    steps, lanes = ranks.shape
-    contexts = _Contexts(lanes, width, width)
-    guesses, states = np.empty((steps, 2, lanes), np.uint16), np.empty((steps, lanes), np.uint8)
-    for t in range(steps):
-        found = ranks[t].astype(np.int64)
-        guesses[t], states[t] = guess, state = contexts.predict()
-        contexts.learn(found, found, guess == found)
-    counts = np.zeros(lanes * width, np.int64)
-    base = np.arange(lanes) * width
-    for a in range(0, steps, CHUNK):
-        part = ranks[a : a + CHUNK]
-        missed = (guesses[a : a + CHUNK] != part[:, None, :]).all(axis=1)
-        counts += np.bincount((base + part)[missed], minlength=len(counts))
-    counts = counts.reshape(lanes, width)
-    sizes = ranks.max(axis=0).astype(np.int64) + 1
+    lanes, steps = ranks.shape
+    guesses, states, outcomes = np.empty((2, lanes, steps), np.uint16), np.empty(ranks.shape, np.uint8), np.empty(ranks.shape, np.uint8)
+    counts = np.zeros((lanes, width), np.int64)
+    for i, found in enumerate(ranks):
+        last = np.zeros(steps + 1, np.uint16)
+        last[2:] = found[:-1]
+        (guess1, trust1), (guess2, trust2) = _predicted(found, last[1:], width), _predicted(found, _slots(last[:-1], last[1:]), width)
+        hit1, hit2 = guess1 == found, guess2 == found
+        guesses[0, i], guesses[1, i] = guess1, guess2
+        states[i] = (trust2 << 3) + (trust1 << 1) + (guess1 == guess2)
+        outcomes[i] = _outcomes(states[i], hit1, hit2)
+        counts[i] = np.bincount(found[~(hit1 | hit2)], minlength=width)
+    sizes = ranks.max(axis=1).astype(np.int64) + 1
     mixer, weights, coder = _Mixer([scaled(c[:n]) for c, n in zip(counts, sizes, strict=True)], width), _Weights(lanes), _Encoder(lanes, steps)
     for a in range(0, steps, CHUNK):
-        state, found = states[a : a + CHUNK].astype(np.int64), ranks[a : a + CHUNK].astype(np.int64)
-        guess1, guess2 = guesses[a : a + CHUNK, 0], guesses[a : a + CHUNK, 1]
-        low, own = mixer.share(*mixer.order0(found), guess1, guess2, found, *weights.of(state))
-        for b, w in zip(low, own, strict=True):
-            coder.narrow(b, w)
-        weights.learn(state, np.stack([guess1 == found, guess2 == found], axis=1))
+        part = slice(a, a + CHUNK)
+        low, own = mixer.share_many(ranks[:, part], guesses[0, :, part], guesses[1, :, part], *weights.of_many(states[:, part]))
+        coder.narrow(low.T.astype(np.int64, order="C"), own.T.astype(np.int64, order="C"))
+        weights.learn(outcomes[:, part])
     return counts, coder.codes()
 
 
@@ -230,32 +341,29 @@ def _decode_lanes(codes: list[bytes], steps: int, counts: list[np.ndarray]) -> n
     lanes, width = len(codes), max(len(c) for c in counts)
     parts = [scaled(c) for c in counts]
     lookup = np.concatenate([np.repeat(np.arange(len(p), dtype=np.uint16), p) for p in parts])
-    starts = np.arange(lanes) << TOTAL_BITS
     contexts, mixer, weights, coder = _Contexts(lanes, width, _TOTAL), _Mixer(parts, width), _Weights(lanes), _Decoder(codes)
     out = np.empty((steps, lanes), np.uint16)
-    states, hits = np.empty((CHUNK, lanes), np.int64), np.empty((CHUNK, 2, lanes), bool)
-    for t in range(steps):
-        guess, state = contexts.predict()
-        one, two, q0 = weights.of(state)
-        place = mixer.locate(coder.aim(), guess, one, two, q0)
-        found = lookup.take(starts + place, mode="clip").astype(np.int64)
-        before, own = mixer.order0(found)
-        coder.narrow(*mixer.share(before, own, *guess, before, one, two, q0))
-        out[t] = found
-        hit = guess == before
-        contexts.learn(found, before, hit)
-        k = t % CHUNK
-        states[k], hits[k] = state, hit
-        if k == CHUNK - 1:
-            weights.learn(states, hits)
+    states, hits = np.empty((CHUNK, lanes), np.int32), np.empty((CHUNK, 2, lanes), bool)
+    with np.errstate(all="ignore"):  # a damaged code may lead anywhere; the checksum tells
+        for t in range(steps):
+            k = t % CHUNK
+            guess = contexts.predict(states[k])
+            shares = weights.of(states[k])
+            found = lookup.take(mixer.locate(coder.aim(), guess, shares), out=out[t], mode="clip")
+            own = mixer.order0(found)
+            coder.narrow(mixer.share(own, guess, hits[k], shares))
+            contexts.learn(found, own[0], mixer.told[1])
+            if k == CHUNK - 1:
+                weights.learn(_outcomes(states.astype(np.uint8), hits[:, 0], hits[:, 1]).T)
     return out
 
 
 def _varints(x: np.ndarray) -> bytes:
     """Numbers in groups of 7 bits, the lowest first; a set high bit says that more follow."""
     x = x.astype(np.int64)
-    groups = np.stack([(x >> (7 * k)) & 127 for k in range(5)], axis=1)
-    more = np.stack([x >> (7 * k + 7) > 0 for k in range(5)], axis=1)
+    n = max(1, -(-int(x.max(initial=0)).bit_length() // 7))
+    groups = np.stack([(x >> (7 * k)) & 127 for k in range(n)], axis=1)
+    more = np.stack([x >> (7 * k + 7) > 0 for k in range(n)], axis=1)
     used = np.concatenate([np.ones((len(x), 1), bool), more[:, :-1]], axis=1)
     return (groups | (more << 7))[used].astype(np.uint8).tobytes()
 
@@ -290,15 +398,19 @@ def encode_ids(ids: np.ndarray) -> bytes:
     if not len(ids):
         return b""
     n_blocks = -(-len(ids) // min(BLOCK, max(LEAST_BLOCK, len(ids) // LANES)))
-    blocks = [b.astype(np.uint32) for b in np.array_split(ids, n_blocks)]
+    blocks = np.array_split(ids.astype(np.uint32, copy=False), n_blocks)
     steps = len(blocks[0])
-    lists, ranks = [], np.empty((steps, n_blocks), np.uint16)
+    lists, ranks = [], np.empty((n_blocks, steps), np.uint16)
     for i, b in enumerate(blocks):
         distinct, place = _distinct(b)
         lists.append(distinct)
-        ranks[: len(b), i] = place
-        ranks[len(b) :, i] = place[-1]
-    counts, codes = _encode_lanes(ranks, max(len(d) for d in lists))
+        ranks[i, : len(b)] = place
+        ranks[i, len(b) :] = place[-1]
+    counts, codes = [], []
+    for a in range(0, n_blocks, ENCODED_LANES):
+        some = _encode_lanes(ranks[a : a + ENCODED_LANES], max(len(d) for d in lists[a : a + ENCODED_LANES]))
+        counts += list(some[0])
+        codes += some[1]
     out: list[bytes] = []
     for b, distinct, c, code in zip(blocks, lists, counts, codes, strict=True):
         known = zlib.compress(_varints(np.diff(distinct, prepend=np.uint32(0))) + _varints(c[: len(distinct)]), 9)

@@ -561,6 +561,74 @@ def test_pieces_go_together_and_frequent_ones_are_kept(monkeypatch):
     assert len(asked) > 3
 
 
+def test_words_give_the_ids_of_whole_texts(monkeypatch):
+    """Cuts inside and between words, doubtful white space, special tokens, nulls, slices; a worker that forgets its words goes on."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encoder = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    rng = np.random.default_rng(8)
+    bits = ["a", "The", "'s", "don't", "'S", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\x0b", "\x1c", "\x85", "\u00a0", "\u180e", "\u2003", "\u200b", "\u3000", "7", "12", "\u00e9", "\u0301", "\u00aa", "日本", "!", ", ", "...", "_", "\x00", "\U0001f600"]
+    texts = [None, "", " ", "\n", "a\n", "\nA", "x" * 5000]
+    texts += ["".join(bits[k] for k in rng.integers(0, len(bits), rng.integers(1, 30))) for _ in range(4000)]
+    texts += [t + "<|endoftext|>" + t for t in texts[7:60]]
+
+    def check(some):
+        ids, n = encoder.encode_arrow(pa.array(["left out", *some], pa.string()).slice(1))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t or "", add_special_tokens=False).ids for t in some]
+
+    check(texts)
+    monkeypatch.setattr(tokens, "WORDS", 300)
+    for a in range(0, len(texts), 400):
+        check(texts[a : a + 400])
+    encoder._token_bytes = np.zeros(1 << 17, np.int64)  # ids that don't stand for all bytes: each word by itself
+    check(["new words, and\nmore of them"])
+    encoder.cut = False
+    check(texts[-20:])
+    assert encoder.encode_arrow(pa.array([], pa.string()))[0].size == 0
+    monkeypatch.setattr(tokens, "AT_ONCE", 10)
+    assert tokens._portions(pa.array(["x" * 6, None, "x" * 4, "y", "", "z" * 30, "a"])) == [(0, 3), (3, 2), (5, 1), (6, 1)]
+    assert tokens._portions(pa.array([], pa.string())) == [(0, 0)]
+
+
+def test_words_go_through_the_library_once(monkeypatch):
+    """Whatever stands behind a word, in whatever text and task of a worker: the library gets it once."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens._encoder.cache_clear()
+    encoder, asked = tokens._encoder(path), []
+    ask = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: asked.extend(texts) or ask(texts))
+    some = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    for behind in (",", ".", ";", "?!", ")", ":"):
+        encoder.encode_arrow(pa.array(["".join(f" {w}{behind}" for w in some)] * 3))
+    assert sum(map(len, asked)) < 2 * sum(len(w) + 1 for w in some)
+    asked.clear()
+    assert tokens._encoder(path) is encoder
+    encoder.encode_arrow(pa.array([" ".join(["", *some[::-1]])]))
+    assert not asked
+    tokens._encoder.cache_clear()
+
+
+def test_range_coder_keeps_its_format():
+    """The bytes are those that earlier versions wrote, also where lanes go in groups."""
+    ids = (np.cumsum(np.arange(70_000) * 2654435761 % 97) % 3001).astype(np.uint32)
+    code = mixcoder.encode_ids(ids)
+    assert (len(code), zlib.crc32(code)) == (106904, 225215840)
+    assert np.array_equal(mixcoder.decode_ids(code), ids)
+
+
+def test_range_coder_encodes_in_groups(monkeypatch):
+    ids = np.random.default_rng(3).zipf(1.2, 60_000).astype(np.uint32) % 5000
+    code = mixcoder.encode_ids(ids)
+    monkeypatch.setattr(mixcoder, "ENCODED_LANES", 3)
+    assert mixcoder.encode_ids(ids) == code
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 4096, 9000])
 def test_range_coder(n):
     rng = np.random.default_rng(n)
